@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import linededup, mixing, simhash
+from quire.llm import bpe, langid, linededup, mixing, simhash, tokenbin
 from quire.llm.util import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe_round_trip": lambda spark, sf: bpe.op1_bpe_round_trip(documents(spark, sf)),
+        "op3_token_files": lambda spark, sf: tokenbin.op3_token_files(documents(spark, sf)),
+        "op4_language_id": lambda spark, sf: langid.op4_language_id(documents(spark, sf)),
         "op7_simhash_fingerprints": lambda spark, sf: simhash.op7_fingerprints(documents(spark, sf)),
         "op9_mix_sources": lambda spark, sf: mixing.op9_mix_sources(documents(spark, sf)),
         "op10_line_dedup": lambda spark, sf: linededup.op10_line_dedup(documents(spark, sf)),

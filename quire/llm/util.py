@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,5 +36,23 @@ def hash128(*cols: Column | str) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols]) for seed in (17, 8191)]
 
 
+class Memo(dict):
+    """A dict that computes what it lacks. Past its limit it starts afresh, taking back from the last generation what is asked for again."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.last = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.last.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.last = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, langid, linededup, mixing, simhash, tokenbin
+from quire.llm import bpe, langid, linededup, mixing, mtree, simhash, tokenbin, warc
 from quire.llm.util import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": lambda spark, sf: bpe.op1_bpe_round_trip(documents(spark, sf)),
+        "op2_mtree_top_k": lambda spark, sf: mtree.op2_top_k(spark.read.parquet(f"{sf}/embeddings.parquet")),
         "op3_token_files": lambda spark, sf: tokenbin.op3_token_files(documents(spark, sf)),
         "op4_language_id": lambda spark, sf: langid.op4_language_id(documents(spark, sf)),
+        "op5_warc_archives": lambda spark, sf: warc.op5_warc_archives(spark.read.parquet(f"{sf}/pages.parquet")),
         "op7_simhash_fingerprints": lambda spark, sf: simhash.op7_fingerprints(documents(spark, sf)),
         "op9_mix_sources": lambda spark, sf: mixing.op9_mix_sources(documents(spark, sf)),
         "op10_line_dedup": lambda spark, sf: linededup.op10_line_dedup(documents(spark, sf)),
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": mixing.ORACLE, "op10_line_dedup": linededup.ORACLE}
+    return {"op2_mtree_top_k": mtree.ORACLE, "op9_mix_sources": mixing.ORACLE, "op10_line_dedup": linededup.ORACLE}

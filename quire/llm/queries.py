@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, langid, linededup, mixing, mtree, omh, simhash, tokenbin, warc
+from quire.llm import bpe, langid, linededup, mixing, mtree, omh, paragraphs, simhash, tokenbin, warc
 from quire.llm.util import documents
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": lambda spark, sf: tokenbin.op3_token_files(documents(spark, sf)),
         "op4_language_id": lambda spark, sf: langid.op4_language_id(documents(spark, sf)),
         "op5_warc_archives": lambda spark, sf: warc.op5_warc_archives(spark.read.parquet(f"{sf}/pages.parquet")),
+        "op6_paragraph_dedup": lambda spark, sf: paragraphs.op6_paragraph_dedup(documents(spark, sf)),
         "op7_simhash_fingerprints": lambda spark, sf: simhash.op7_fingerprints(documents(spark, sf)),
         "op8_near_duplicates": lambda spark, sf: omh.op8_near_duplicates(documents(spark, sf)),
         "op9_mix_sources": lambda spark, sf: mixing.op9_mix_sources(documents(spark, sf)),

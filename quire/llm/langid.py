@@ -110,7 +110,8 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                 if vector is not None:
                     sums[lang] = sums.get(lang, 0) + vector / max(float(np.linalg.norm(vector)), 1e-9)
                     counts[lang] = counts.get(lang, 0) + 1
-        yield pd.DataFrame({"lang": list(sums), "n": list(counts.values()), "v": [s.astype("float64") for s in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "n": list(counts.values()), "v": [s.astype("float64") for s in sums.values()]})
 
     parts = labelled.where("lang IS NOT NULL").select("text", "lang").mapInPandas(add, "lang string, n long, v array<double>")
     each = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))

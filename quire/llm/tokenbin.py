@@ -247,7 +247,8 @@ def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                 if row.path != path:
                     path, reader = row.path, FrameReader(row.path)
                 found = reader.find(row.doc_id)
-                yield pd.DataFrame({"doc_id": [row.doc_id] * len(found), "ids": [x.astype("int32") for x in found]})
+                if found:
+                    yield pd.DataFrame({"doc_id": [row.doc_id] * len(found), "ids": [x.astype("int32") for x in found]})
 
     return asks.repartition("path").sortWithinPartitions("path", "doc_id").mapInPandas(run, "doc_id long, ids array<int>")
 

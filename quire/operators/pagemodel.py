@@ -176,3 +176,54 @@ def text_in_region(items: DataFrame, boxes: DataFrame, slack: float = 2.0) -> Da
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     inside = cx.between(F.col("r_x0") - slack, F.col("r_x1") + slack) & cy.between(F.col("r_y0") - slack, F.col("r_y1") + slack)
     return items_to_lines(joined.where(inside), [*PAGE, "box"])
+
+
+def span_to_glyphs(glyphs: DataFrame, spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Glyphs of each span (keys, hit, a, b): those whose characters overlap it in the flat text of the segment; glyphs without text have none."""
+    place = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.char_length("text")
+    offset = glyphs.withColumn("e", F.sum(n).over(place)).withColumn("s", F.col("e") - n).where(F.col("e") > F.col("s"))
+    return offset.join(spans, keys).where((F.col("e") > F.col("a")) & (F.col("s") < F.col("b"))).drop("e", "s")
+
+
+def term_regions(hit_glyphs: DataFrame, keys: list[str], mode: str = "term", inset: float = 0.02, least: float = 0.05) -> DataFrame:
+    """Boxes to redact: of the hits themselves, of their whole rows (line) or of the whole segment (para); distinct, drawn in a little.
+
+    hit_glyphs: glyphs with keys and hit; for line and para also row_x0, row_x1 or seg_x0 to seg_y1.
+    """
+    if mode == "term":
+        boxes = merge_boxes(hit_glyphs, [*keys, "hit"])
+    elif mode == "line":
+        boxes = hit_glyphs.groupBy(*keys, "row_y").agg(F.min("row_x0").alias("x0"), F.min("y0").alias("y0"), F.max("row_x1").alias("x1"), F.max("y1").alias("y1"))
+    elif mode == "para":
+        boxes = hit_glyphs.groupBy(*keys).agg(*[F.first(f"seg_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    else:
+        raise ValueError(mode)
+    drawn = boxes.select(*keys, *[F.round(F.col(c) + (inset if c[1] == "0" else -inset), 2).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return drawn.where((F.col("x1") - F.col("x0") > least) & (F.col("y1") - F.col("y0") > least)).dropDuplicates()
+
+
+def merge_line_rects(rects: DataFrame, keys: list[str], gap: float = 1.6) -> DataFrame:
+    """Rectangles (keys, x0, y0, x1, y1) joined along rows: starts within max(2.5, height / 4) are one row, gaps up to `gap` close."""
+    reach = rects.groupBy(*keys).agg(F.greatest(F.lit(2.5), F.max(F.col("y1") - F.col("y0")) / 4).alias("reach"), F.collect_set("y0").alias("ys"))
+    starts = reach.select(*keys, "reach", F.explode(F.aggregate(
+        F.sort_array("ys", asc=False), F.struct(F.array().cast("array<double>").alias("out"), F.col("reach").alias("r")),
+        lambda acc, v: F.struct(F.when((F.size(acc["out"]) > 0) & (F.abs(F.try_element_at(acc["out"], F.lit(-1)) - v) <= acc["r"]), acc["out"]).otherwise(F.concat(acc["out"], F.array(v))).alias("out"), acc["r"].alias("r")),
+        lambda acc: acc["out"])).alias("row_y"))
+    near = rects.join(starts, keys).where(F.abs(F.col("row_y") - F.col("y0")) <= F.col("reach"))
+    own = near.groupBy(*keys, "x0", "y0", "x1", "y1").agg(F.max("row_y").alias("row_y"))
+    row = Window.partitionBy(*keys, "row_y")
+    run = row.orderBy("x0", "x1")
+    far = F.max("x1").over(run.rowsBetween(Window.unboundedPreceding, -1))
+    marked = own.withColumn("fresh", F.coalesce((F.col("x0") - far > gap).cast("int"), F.lit(1)))
+    parts = marked.withColumns({"part": F.sum("fresh").over(run), "low": F.min("y0").over(row), "high": F.max("y1").over(row)})
+    return parts.groupBy(*keys, "row_y", "part").agg(F.min("x0").alias("x0"), F.first("low").alias("y0"), F.max("x1").alias("x1"), F.first("high").alias("y1")).drop("part")
+
+
+def replace_regions(glyphs: DataFrame, hits: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(glyphs that stay, one new text per page at the first glyph that goes). hits: glyphs under the regions; none is an error."""
+    if hits.isEmpty():
+        raise ValueError("nothing under the regions")
+    keys = [*PAGE, "op_index", "char_index"]
+    first = hits.groupBy(*PAGE).agg(F.min_by(F.struct("x0", (F.col("y0") + (F.col("y1") - F.col("y0")) * 0.2).alias("y"), (F.col("y1") - F.col("y0")).alias("size")), F.struct("op_index", "char_index")).alias("at"))
+    return glyphs.join(hits.select(*keys), keys, "left_anti"), first.select(*PAGE, "at.*", F.lit(text).alias("text"))

@@ -280,3 +280,56 @@ def j9_row_rule_band(spark, sf_dir):
 def w6_table_cells(spark, sf_dir):
     glyphs = M.build_rows(glyph_table(spark, sf_dir).where("page % 2 = 0"))
     return M.table_cells(M.row_stats(glyphs), glyphs)
+
+
+_PAGE_TEXT = f"""
+WITH {GLYPHS_SQL}, e AS (SELECT *, 800 - 15.0::DOUBLE * op_index AS yy FROM glyphs),
+t AS (SELECT doc_id, page, string_split(string_agg(text, '' ORDER BY op_index, char_index), 'the') AS p FROM glyphs GROUP BY doc_id, page),
+c AS (SELECT doc_id, page, unnest(p[:-2]) AS piece, generate_subscripts(p[:-2], 1) AS hit FROM t WHERE len(p) > 1),
+s AS (SELECT doc_id, page, hit, sum(length(piece)) OVER (PARTITION BY doc_id, page ORDER BY hit) + (hit - 1) * 3 AS a FROM c),
+h AS (SELECT e.*, s.hit FROM e JOIN s ON e.doc_id = s.doc_id AND e.page = s.page AND e.op_index * 60 + e.char_index BETWEEN s.a AND s.a + 2)"""
+
+
+def _even(spark, sf_dir) -> DataFrame:
+    y0 = 800 - 15.0 * F.col("op_index")
+    return glyph_table(spark, sf_dir).withColumns({"y0": y0, "y1": y0 + 10})
+
+
+def _hit_glyphs(spark, sf_dir) -> DataFrame:
+    from quire.functions.text import find_spans
+
+    g = _even(spark, sf_dir)
+    pages = g.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("op_index", "char_index", "text"))), lambda x: x["text"]), "").alias("t"))
+    spans = pages.select("doc_id", "page", F.posexplode(find_spans(F.col("t"), F.lit("the"))).alias("hit", "x")).select("doc_id", "page", (F.col("hit") + 1).alias("hit"), "x.a", "x.b")
+    return M.span_to_glyphs(g, spans, ["doc_id", "page"], ["op_index", "char_index"])
+
+
+@query("j13_span_to_glyphs", _PAGE_TEXT + " SELECT doc_id, page, hit::INTEGER AS hit, op_index, char_index FROM h")
+def j13_span_to_glyphs(spark, sf_dir):
+    return _hit_glyphs(spark, sf_dir).select("doc_id", "page", "hit", "op_index", "char_index")
+
+
+@query("t8_term_regions", _PAGE_TEXT + """, b AS (SELECT doc_id, page, hit, op_index, page % 2 = 0 AND char_index >= 40 AS far, min(x0) AS x0, max(x1) AS x1, min(yy) AS y FROM h GROUP BY ALL)
+SELECT DISTINCT doc_id, page, round(x0 + 0.02, 2) AS x0, round(y + 0.02, 2) AS y0, round(x1 - 0.02, 2) AS x1, round(y + 9.98, 2) AS y1 FROM b""")
+def t8_term_regions(spark, sf_dir):
+    return M.term_regions(_hit_glyphs(spark, sf_dir), ["doc_id", "page"])
+
+
+@query("t11_redaction_boxes", "SELECT DISTINCT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, 60.0::DOUBLE AS x0, 778.0::DOUBLE AS y0, 130.0::DOUBLE AS x1, 814.0::DOUBLE AS y1 FROM conversations WHERE (turn + 1) % 3 <> 0")
+def t11_redaction_boxes(spark, sf_dir):
+    return G.redaction_boxes(region_table(spark, sf_dir))
+
+
+@query("t10_replace_regions", f"WITH {GLYPHS_SQL} SELECT doc_id, page, round(arg_min(x0, op_index * 100 + char_index), 3) AS x0, arg_min(y0, op_index * 100 + char_index) + 2 AS y, 'NEW' AS text FROM glyphs WHERE {HIT_SQL} GROUP BY doc_id, page")
+def t10_replace_regions(spark, sf_dir):
+    g = glyph_table(spark, sf_dir)
+    _, made = M.replace_regions(g, G.glyphs_in_regions(g, region_table(spark, sf_dir)), "NEW")
+    return made.select("doc_id", "page", F.round("x0", 3).alias("x0"), "y", "text")
+
+
+@query("w9_merge_line_rects", f"""
+WITH {GLYPHS_SQL}, e AS (SELECT doc_id, page, op_index, x0, x1, lag(x1) OVER (PARTITION BY doc_id, page, op_index ORDER BY x0) AS p FROM glyphs WHERE ch <> ' ')
+SELECT doc_id, page, count(*) AS boxes FROM e WHERE p IS NULL OR x0 - p > 1.6 GROUP BY doc_id, page""")
+def w9_merge_line_rects(spark, sf_dir):
+    rects = glyph_table(spark, sf_dir).where("text <> ' '").select("doc_id", "page", "x0", "y0", "x1", "y1")
+    return M.merge_line_rects(rects, ["doc_id", "page"]).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("boxes"))

@@ -237,7 +237,7 @@ def w10_footer_row(spark, sf_dir):
 
 
 RECT_SQL = """
-r AS (SELECT l_orderkey AS doc_id, 1 AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq, 50 + l_quantity AS x0, l_linenumber * 20.0::DOUBLE AS y0,
+r AS (SELECT l_orderkey AS doc_id, 1 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INTEGER) AS seq, 50 + l_quantity AS x0, l_linenumber * 20.0::DOUBLE AS y0,
              50 + l_quantity + l_extendedprice % 100 AS x1, l_linenumber * 20 + l_discount * 30 AS y1, l_returnflag <> 'A' AS painted, l_linestatus = 'F' AND l_returnflag = 'R' AS rotated FROM lineitem),
 u AS (SELECT *, (y0 + y1) / 2 AS y FROM r WHERE painted AND NOT rotated AND y1 - y0 <= 2 AND x1 - x0 >= 30)"""
 

@@ -47,7 +47,7 @@ def l12_place_text_box(spark, sf_dir):
     return R.place_text_box(boxes).drop("text")
 
 
-_ROWS = "w AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS n, l_quantity AS height FROM lineitem), t AS (SELECT *, 700 - n * 60.0::DOUBLE AS row_y FROM w)"
+_ROWS = "w AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INTEGER) AS n, l_quantity AS height FROM lineitem), t AS (SELECT *, 700 - n * 60.0::DOUBLE AS row_y FROM w)"
 
 
 def _rows(spark, sf_dir):

@@ -72,5 +72,5 @@ def p2_human_size(spark, sf_dir):
 @query("r4_expire", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR")
 def r4_expire(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    return C.expire(e.join(F.broadcast(now)), F.col("now"), 6, "ts").select("event_id")
+    now = e.agg(F.max("ts")).first()[0]
+    return C.expire(e, F.lit(now), 6, "ts").select("event_id")

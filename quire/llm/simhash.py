@@ -91,7 +91,7 @@ def near_pairs(fps: DataFrame, radius: int = 3, blocks: int = 6, fp: str = "fp")
 
 
 def next_rows(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, n1, n2, quarter): each row key, the key of the row after it, and a quarter of its code points.
+    """(doc_id, k1, k2, n1, n2, quarter, n): each row key, the key of the row after it, and a quarter of its code points.
 
     Order is by doc_id, nulls last, then by key; the row after the last is the first. The
     order is cut into ranges, each range finds its own neighbours, and only the first row of
@@ -107,28 +107,28 @@ def next_rows(keyed: DataFrame) -> DataFrame:
     in_order = Window.orderBy("part")
     passed = firsts.select("part", F.coalesce(F.lead("first").over(in_order), F.first("first").over(in_order)).alias("over"))
     linked = ranged.withColumn("after", after).join(passed, "part").withColumn("after", F.coalesce("after", "over"))
-    return linked.select("k1", "k2", F.col("after.k1").alias("n1"), F.col("after.k2").alias("n2"), "quarter", "n")
+    return linked.select("doc_id", "k1", "k2", F.col("after.k1").alias("n1"), F.col("after.k2").alias("n2"), "quarter", "n")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fp, edited_fp and next_fp."""
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     k1, k2 = hash128("doc_id", "text")
-    keyed = whole.withColumns({"k1": k1, "k2": k2})
-    links = stage(next_rows(keyed), "simhash-links")
+    links = stage(next_rows(whole.withColumns({"k1": k1, "k2": k2})), "simhash-links")
+    keyed = whole.select("text", k1.alias("k1"), k2.alias("k2"))  # alike in both joins below, so it is shuffled once
     if links.where("n > 1").limit(1).count():
         keyed = keyed.dropDuplicates(["k1", "k2"])
     heads = keyed.join(links.select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), "quarter"), ["k1", "k2"])
     heads = heads.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.substring("text", F.lit(1), F.col("quarter").cast("int")).alias("head"), "quarter")
     n_chars = F.char_length("text")
     joined = keyed.join(heads, ["k1", "k2"]).select(
-        "k1", "k2", "doc_id", n_chars.cast("long").alias("n_chars"), "text",
+        "k1", "k2", n_chars.cast("long").alias("n_chars"), "text",
         F.concat(F.substring("text", F.lit(1), (n_chars - F.col("quarter")).cast("int")), "head").alias("edited"))
-    both = joined.select("k1", "k2", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+    both = joined.select("k1", "k2", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                          F.explode(F.array(F.struct(F.lit(False).alias("side"), F.col("text").alias("t")), F.struct(F.lit(True).alias("side"), F.col("edited").alias("t")))).alias("x"))
-    keys = ["k1", "k2", "doc_id", "n_chars", "edited_sha256", "side"]
+    keys = ["k1", "k2", "n_chars", "edited_sha256", "side"]
     fps = fingerprints(both.select(*keys[:-1], "x.side", "x.t"), keys, "t")
-    made = stage(fps.groupBy("k1", "k2", "doc_id", "n_chars", "edited_sha256").agg(
+    made = stage(fps.groupBy("k1", "k2", "n_chars", "edited_sha256").agg(
         F.max(F.when(~F.col("side"), F.col("fp"))).alias("fp"), F.max(F.when(F.col("side"), F.col("fp"))).alias("edited_fp")), "simhash-made")
     nexts = made.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("fp").alias("next_fp"))
     out = made.join(links, ["k1", "k2"]).join(nexts, ["n1", "n2"])

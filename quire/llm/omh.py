@@ -6,11 +6,13 @@ in text order, as one 64-bit number. Documents that share a number are candidate
 decides is the edit similarity of the words, 1 - distance / longer length, at SIMILAR or
 more, from an alignment within the band that this allows.
 
-Equal texts are one node from the start. Inside a bucket no pairs are listed: the first
-round aligns every member with one centre. Members unlike it are dealt anew by two shared
-numbers and go on to rounds with one centre, then four times as many each, until none are
-left, so large groups of copies cost one alignment per member and nothing is capped. Classes are the connected components of the
-links found.
+Equal texts are one node from the start. Every two texts that share a number are aligned,
+unless links found before connect them already: the first round aligns every member of a
+bucket with one centre; later rounds take MORE times as many centres each and align them with
+the members of other classes so far, until every bucket has one class or no member left that
+was not a centre. So large groups of copies cost about one alignment per member, groups of
+unlike texts that share a number cost one per pair, and nothing is capped. Classes are the
+connected components of the links found.
 
 Defined results: texts without words (null, empty) are alike to nothing and are their own
 class; texts of fewer than K words have one k-mer of all their words; a null doc_id has a
@@ -21,7 +23,6 @@ gives an empty table. Other columns pass through `keep_one`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 from quire.llm.graph import components
 from quire.llm.util import Memo, stage
 
-K, PICK, SKETCHES, SIMILAR = 5, 3, 24, 0.8
-#: Numbers of the sketch that a bucket is narrowed by.
-AHEAD = 6
+#: Of pairs with a fifth of the words replaced at random places, 0.97 share a number, with less all or nearly all.
+K, PICK, SKETCHES, SIMILAR = 3, 2, 32, 0.8
+#: How many times as many centres a bucket has in the next round.
+MORE = 16
 #: Words whose hashes a worker remembers, and k-mers hashed at once.
 MEMO_ITEMS, STEP = 200_000, 1 << 16
 ODD = np.random.default_rng(11).integers(1, 1 << 63, 2 * SKETCHES + 16, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -204,55 +206,37 @@ def aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long").distinct()
 
 
-def narrowed(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Open entries dealt anew by their bucket and one of the next AHEAD numbers of the sketch (after the last: the first).
-
-    Of any SKETCHES / AHEAD shared numbers two lie so near, so texts that share as many meet again.
-    """
-    ahead = F.transform(F.sequence(F.lit(1), F.lit(AHEAD)), lambda d: F.struct(d.alias("d"), F.get("sketch", (F.col("i") + d) % SKETCHES).alias("other")))
-    every = open_.join(nodes.select("id", "sketch"), "id").select("id", "n", "i", "key", F.inline(ahead))
-    finer = every.select((F.col("i") * SKETCHES + F.col("d")).alias("i"), F.xxhash64("key", "other").alias("key"), "id", "n")
-    return finer.join(finer.groupBy("i", "key").count().where("count > 1").select("i", "key"), ["i", "key"])
-
-
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, class_id) of every row: class_id is the least doc_id of its class."""
     every = stage(sketches(docs, text), "omh-sketches")
     nodes = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stage(nodes, "omh-nodes")
     entries = nodes.select("id", "n", F.posexplode("sketch").alias("i", "key"))
-    shared = entries.groupBy("i", "key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("c")).where("m > 1").select("i", "key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"))
-    open_ = stage(entries.join(shared, ["i", "key"]), "omh-open")
-    words = stage(words_of(docs, open_.select("id").distinct(), text), "omh-words")
-    centres, many, found, tried = open_.select("i", "key", "c", "cn").distinct(), 1, [], None
-    while True:
-        met = open_.drop("c", "cn").join(centres, ["i", "key"]).where("id <> c")
+    repeated = entries.groupBy("i", "key").count().where("count > 1").select("i", "key")
+    open_ = stage(entries.join(repeated, ["i", "key"]).withColumn("label", F.col("id")), "omh-open")
+    labels = stage(open_.select("id", "label").distinct(), "omh-labels")
+    words = stage(words_of(docs, labels.select("id"), text), "omh-words")
+    many, tried = 1, None
+    while not open_.isEmpty():
+        first = F.row_number().over(Window.partitionBy("i", "key").orderBy("id"))
+        centres = stage(open_.withColumn("r", first).where(F.col("r") <= many).select("i", "key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")), "omh-centres")
         fit = F.least("n", "cn") >= SIMILAR * F.greatest("n", "cn") - 1e-9
-        pairs = met.where(fit).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        met = open_.join(centres, ["i", "key"]).where(fit & (F.col("label") != F.col("cl")))
+        pairs = met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "omh-pairs")
         links = stage(aligned(pairs, words), "omh-links")
-        found.append(links)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        linked = reduce(DataFrame.unionByName, found)
-        both = linked.select(F.col("a").alias("id"), F.col("b").alias("c")).unionByName(linked.select(F.col("b").alias("id"), F.col("a").alias("c")))
-        settled = met.select("i", "key", "id", "c").join(both, ["id", "c"]).select("i", "key", "id").unionByName(centres.select("i", "key", F.col("c").alias("id"))).distinct()
-        left = open_.select("i", "key", "id", "n").join(settled, ["i", "key", "id"], "left_anti")
-        alone = left.groupBy("i", "key").count().where("count > 1").select("i", "key")
-        open_ = stage(left.join(alone, ["i", "key"]), "omh-open")
-        if open_.isEmpty():
-            break
-        if tried is pairs:
-            open_ = stage(narrowed(open_, nodes), "omh-narrowed")
-            if open_.isEmpty():
-                break
-        else:
-            many *= 4
-        first = F.row_number().over(Window.partitionBy("i", "key").orderBy("id"))
-        centres = stage(open_.withColumn("r", first).where(F.col("r") <= many).select("i", "key", F.col("id").alias("c"), F.col("n").alias("cn")), "omh-centres")
-    labels = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = nodes.select("h1", "h2", "id").join(labels, F.col("id") == F.col("node"), "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
+        left, right = (labels.select(F.col("id").alias(c), F.col("label").alias(x)) for c, x in ("au", "bv"))
+        merged = components(links.join(left, "a").join(right, "b").select("u", "v")).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        labels = stage(labels.join(merged, "label", "left").select("id", F.coalesce("least", "label").alias("label")), "omh-labels")
+        # A centre has met its whole bucket; what is left needs to meet only if it is of several classes.
+        rest = open_.drop("label").join(centres.select("i", "key", F.col("c").alias("id")), ["i", "key", "id"], "left_anti").join(labels, "id")
+        several = rest.groupBy("i", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("i", "key")
+        open_ = stage(rest.join(several, ["i", "key"]), "omh-open")
+        many *= MORE
+    named = nodes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
     of = every.select("doc_id", "h1", "h2", "n").join(named, ["h1", "h2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
     return of.select("doc_id", F.when(F.col("doc_id").isNotNull(), own).alias("class_id"))

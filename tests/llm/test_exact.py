@@ -171,6 +171,43 @@ def test_near_duplicates_are_brute_force(spark):
     assert found == least
 
 
+def with_sketches(spark, monkeypatch, texts, numbers):
+    """Classes of the texts as if their sketches were these numbers."""
+    rows = [(i, i, i, len(t.split()), s) for i, (t, s) in enumerate(zip(texts, numbers))]
+    monkeypatch.setattr(omh, "sketches", lambda docs, text: spark.createDataFrame(rows, "doc_id long, h1 long, h2 long, n long, sketch array<long>"))
+    found = omh.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [c for _, c in sorted((x.doc_id, x.class_id) for x in found)]
+
+
+def revised(text, at, n):
+    words = text.split(" ")
+    return " ".join(words[:at] + [f"new{at}-{i}" for i in range(n)] + words[at + n :])
+
+
+def test_sketches_find_scattered_edits():
+    r, hits = np.random.default_rng(12), 0
+    for _ in range(100):
+        a = r.integers(1, 1 << 62, 300).astype("u8")
+        b = a.copy()
+        b[r.choice(300, 54, replace=False)] = r.integers(1, 1 << 62, 54).astype("u8")
+        assert omh.similar(a, b)
+        hits += bool((omh.sketch(a) == omh.sketch(b)).any())
+    assert hits >= 95
+
+
+def test_one_shared_number_is_enough(spark, monkeypatch):
+    other, text = passage(21, 100), passage(22, 100)
+    numbers = [[5, *range(100 * i, 100 * i + 31)] for i in (1, 2, 3)]
+    assert with_sketches(spark, monkeypatch, [other, text, revised(text, 40, 15)], numbers) == [0, 1, 1]
+
+
+def test_links_to_settled_members_count(spark, monkeypatch):
+    first = passage(23, 100)
+    second = revised(first, 10, 15)
+    numbers = [[5, *range(100 * i, 100 * i + 31)] for i in (1, 2, 3)]
+    assert with_sketches(spark, monkeypatch, [first, second, revised(second, 50, 15)], numbers) == [0, 0, 0]
+
+
 def test_components(spark):
     r = random.Random(8)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 560)]

@@ -9,8 +9,9 @@ Each paragraph of K words or more has one MinHash of its word shingles per band;
 band is tuned for recall (0.96 at Jaccard 0.8, 1 for equal paragraphs, with two bands).
 Paragraphs that share a band are candidates and those whose shingle sets have a Jaccard of
 SIMILAR or more are linked; equal ones are one node from the start. Inside a band value no
-pairs are listed: one centre is compared with all, and those unlike it go on to rounds with
-four times as many centres, until none are left. Classes are connected components, and all
+pairs are listed that links connect already: one centre is compared with all; later rounds take
+MORE times as many centres and compare them with the members of other classes so far, until
+every band value has one class or only centres. Classes are connected components, and all
 but the first occurrence (least doc_id, then position) of a class may go.
 
 A shared run is a stretch of neighbouring paragraphs that occur elsewhere too. Runs under
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
-from quire.llm.omh import MOST, ODD, mixed, word_hashes
+from quire.llm.omh import MORE, MOST, ODD, mixed, word_hashes
 from quire.llm.util import stage
 
 K, REACH, BANDS, SIMILAR, MIN_WORDS = 5, 5, 2, 0.8, 20
@@ -131,38 +131,35 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Data
     return rows.select("text", "asked").mapInPandas(run, "f long, grams array<long>").dropDuplicates(["f"])
 
 
-def linked(open_: DataFrame, docs: DataFrame, text: str) -> DataFrame | None:
-    """(u, v) of unlike hashes whose Jaccard reaches SIMILAR. open_: (key, f, doc_id, t, start, n), one row per key and hash."""
+def classes(open_: DataFrame, docs: DataFrame, text: str) -> DataFrame | None:
+    """(f, label) of hashes, alike ones (Jaccard of SIMILAR or more) connected. open_: (key, f, doc_id, t, start, n), one row per key and hash."""
     if open_.isEmpty():
         return None
     grams = stage(shingle_sets(docs, open_.groupBy("f").agg(F.min(F.struct("doc_id", "t", "start", "n")).alias("x")).select("f", "x.*"), text), "paragraph-grams")
-    open_, found, tried, many = stage(open_.select("key", "f"), "paragraph-open"), [], None, 1
-    while True:
-        if many == 1:
-            centres = open_.groupBy("key").agg(F.min("f").alias("c"))
-        else:
-            first = F.row_number().over(Window.partitionBy("key").orderBy("f"))
-            centres = open_.withColumn("r", first).where(F.col("r") <= many).select("key", F.col("f").alias("c"))
-        centres = stage(centres, "paragraph-centres")
-        met = open_.join(centres, "key").where("f <> c")
+    open_ = stage(open_.select("key", "f", F.col("f").alias("label")), "paragraph-open")
+    labels, tried, many = stage(open_.select("f", "label").distinct(), "paragraph-labels"), None, 1
+    while not open_.isEmpty():
+        first = F.row_number().over(Window.partitionBy("key").orderBy("f"))
+        centres = stage(open_.withColumn("r", first).where(F.col("r") <= many).select("key", F.col("f").alias("c"), F.col("label").alias("cl")), "paragraph-centres")
+        met = open_.join(centres, "key").where(F.col("label") != F.col("cl"))
         pairs = met.select(F.least("f", "c").alias("u"), F.greatest("f", "c").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = stage(pairs, "paragraph-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         sets = [grams.select(F.col("f").alias(c), F.col("grams").alias(f"g{c}")) for c in "uv"]
         common = F.size(F.array_intersect("gu", "gv"))
         alike = pairs.join(sets[0], "u").join(sets[1], "v").where(common >= SIMILAR * (F.size("gu") + F.size("gv") - common) - 1e-9)
-        found.append(stage(alike.select("u", "v"), "paragraph-links"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = reduce(DataFrame.unionByName, found)
-        both = links.select(F.col("u").alias("f"), F.col("v").alias("c")).unionByName(links.select(F.col("v").alias("f"), F.col("u").alias("c")))
-        settled = met.join(both, ["f", "c"]).select("key", "f").unionByName(centres.select("key", F.col("c").alias("f"))).distinct()
-        left = open_.join(settled, ["key", "f"], "left_anti")
-        alone = left.groupBy("key").count().where("count > 1").select("key")
-        open_ = stage(left.join(alone, "key"), "paragraph-open")
-        if open_.isEmpty():
-            return links
-        many *= 4
+        links = stage(alike.select("u", "v"), "paragraph-links")
+        left, right = (labels.select(F.col("f").alias(c), F.col("label").alias(x)) for c, x in ("ua", "vb"))
+        ends = links.join(left, "u").join(right, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        merged = components(ends).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        labels = stage(labels.join(merged, "label", "left").select("f", F.coalesce("least", "label").alias("label")), "paragraph-labels")
+        rest = open_.drop("label").join(centres.select("key", F.col("c").alias("f")), ["key", "f"], "left_anti").join(labels, "f")
+        several = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        open_ = stage(rest.join(several, "key"), "paragraph-open")
+        many *= MORE
+    return labels
 
 
 def shared_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -174,13 +171,12 @@ def shared_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     per_hash = met.groupBy("key", "f").agg(F.min(F.struct(*PLACE, "start", "n")).alias("x"))
     several = per_hash.groupBy("key").count().where("count > 1").select("key")
     open_ = stage(per_hash.join(several, "key").select("key", "f", "x.*"), "paragraph-hashes")
-    links = linked(open_, docs, text)
+    labels = classes(open_, docs, text)
     spots = met.select(*PLACE, "start", "n", "f").distinct()
-    if links is None:
+    if labels is None:
         spots = spots.withColumn("label", F.col("f"))
     else:
-        labels = components(links)
-        spots = spots.join(labels, F.col("f") == F.col("node"), "left").withColumn("label", F.coalesce("label", "f"))
+        spots = spots.join(labels, "f", "left").withColumn("label", F.coalesce("label", "f"))
     spots = stage(spots.select(*PLACE, "start", "n", "label"), "paragraph-spots")
     texts = F.struct("doc_id", "t")
     first = spots.groupBy("label").agg(F.min(F.struct(*PLACE)).alias("first"), F.min(texts).alias("a"), F.max(texts).alias("z")).where("a <> z").drop("a", "z")

@@ -256,6 +256,15 @@ def test_passages_are_caught(docs):
     assert len(repeated - found) <= 0.02 * len(repeated)
 
 
+def test_links_to_settled_paragraphs_count(spark, monkeypatch):
+    first = passage(31, 60)
+    second = revised(first, 0, 5)
+    docs = spark.createDataFrame(list(enumerate([first, second, revised(second, 55, 5)])), "doc_id long, text string")
+    segs = docs.selectExpr("doc_id", "xxhash64(text) t", "0 seg", "0 start", "60 n", "doc_id f", "array(5L) keys")
+    monkeypatch.setattr(paragraphs, "segments", lambda docs, text: segs)
+    assert sorted((x.doc_id, x["first"].doc_id) for x in paragraphs.shared_paragraphs(docs).collect()) == [(0, 0), (1, 0), (2, 0)]
+
+
 def test_pipeline_stages(spark, docs):
     current = docs
     for name, step in corpus_pipeline.STAGES[:-1]:

@@ -82,15 +82,16 @@ def clean_rects(rects: Column | str) -> Column:
     return F.transform(F.filter(F.filter(r, fits), wide), tidy)
 
 
-def sanitize_annotations(rows: DataFrame, cap: int | None = 5000) -> DataFrame:
-    """rows (doc_id, seq, type, page, rects, color, note) cleaned, with `accepted`; rows beyond the cap per document are gone."""
+def sanitize_annotations(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """rows (doc_id, seq, type, page, rects, color, note) cleaned, with `accepted`. With a cap, rows beyond it per document are not accepted."""
     rows = rows.withColumn("type", F.lower("type"))
+    within = F.lit(True)
     if cap is not None:
-        rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))).where(F.col("__at") <= cap).drop("__at")
+        rows, within = rows.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))), F.col("__at") <= cap
     clean = rows.withColumns({
         "rects": clean_rects("rects"), "color": F.when(F.col("color").isNull(), F.lit(DEFAULT_COLOR)).otherwise(parse_color("color")),
         "note": F.substring(F.coalesce("note", F.lit("")), 1, 2000)})
-    return clean.withColumn("accepted", F.coalesce(F.col("type").isin(*ANNOTATION_KINDS) & (F.col("page") >= 1) & (F.size("rects") > 0), F.lit(False)))
+    return clean.withColumn("accepted", F.coalesce(within & F.col("type").isin(*ANNOTATION_KINDS) & (F.col("page") >= 1) & (F.size("rects") > 0), F.lit(False))).drop("__at")
 
 
 def sanitize_objects(rows: DataFrame) -> DataFrame:

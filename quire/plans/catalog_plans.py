@@ -58,7 +58,7 @@ def s7_unique_names(spark, sf_dir):
 
 @query("p1_catalog_search", f"WITH {CAT_SQL} SELECT page_id, path FROM c WHERE contains(lower(name), 'blog') OR contains(lower(path), 'blog') ORDER BY path LIMIT 300")
 def p1_catalog_search(spark, sf_dir):
-    return C.catalog_search(_catalog(spark, sf_dir), " Blog ").select("page_id", "path")
+    return C.catalog_search(_catalog(spark, sf_dir), " Blog ", cap=300).select("page_id", "path")
 
 
 @query("p2_human_size", """

@@ -58,8 +58,8 @@ def listed(files: DataFrame, suffix: str = "pdf", cap: int | None = None) -> Dat
         "truncated", F.max("at").over(Window.partitionBy()) > cap).where(F.col("at") <= cap).drop("at")
 
 
-def catalog_search(catalog: DataFrame, words: str, cap: int | None = 300) -> DataFrame:
-    """Rows whose name or path holds the trimmed words, case ignored; the first `cap` by path."""
+def catalog_search(catalog: DataFrame, words: str, cap: int | None = None) -> DataFrame:
+    """Rows whose name or path holds the trimmed words, case ignored; with a cap, the first by path."""
     low = F.lit(words.strip().lower())
     found = catalog.where(F.lower("name").contains(low) | F.lower("path").contains(low))
     return found if cap is None else found.orderBy("path").limit(cap)

@@ -67,33 +67,38 @@ def wrap_text(text: Column, size: Column, most: Column) -> Column:
     return run(text, size.cast("double"), most.cast("double"))
 
 
-def wrap_kinsoku_line(line: str, size: float, first: float, rest: float, slack: float = 0.5) -> list[str]:
-    """Greedy lines that do not start with closing marks nor end with opening ones.
+def wrap_kinsoku_line(line: str, size: float, first: float, rest: float, slack: float = 0.5) -> list[tuple[str, bool]]:
+    """Greedy lines that do not start with closing marks nor end with opening ones, each with whether it was broken.
 
-    The break goes back to the last blank if at least half of the line stays before it.
-    Closing marks hang on the line before, up to six, and opening marks go down.
+    The break goes back to the last blank if at least half of the line stays before it. Of
+    what would go down, up to six closing marks stay, unless the line ends with a blank; then
+    up to six opening marks go down. If nothing is left to go down, two more closing marks
+    may follow.
     """
-    sizes = [width(c) * size / 1000.0 for c in line]
-    out, start, room = [], 0, first
-    while start < len(line):
-        used, end, blank = 0.0, start, -1
-        while end < len(line) and (end == start or used + sizes[end] <= room + slack):
-            if line[end] == " ":
-                blank = end
-            used += sizes[end]
+    sizes, n = [width(c) * size / 1000.0 for c in line], len(line)
+    out, start, at, used, blank, room = [], 0, 0, 0.0, -1, first
+    while at < n:
+        if at == start or used + sizes[at] <= room + slack:
+            if line[at] == " ":
+                blank = at
+            used += sizes[at]
+            at += 1
+            continue
+        end = blank + 1 if blank > start and sum(sizes[start : blank + 1]) >= room * 0.5 else at
+        most = min(end + 6, at + 1)
+        while end < most and line[end - 1] != " " and line[end] in NO_LINE_START:
             end += 1
-        if end < len(line):
-            if blank > start and sum(sizes[start : blank + 1]) >= room * 0.5:
-                end = blank + 1
-            hung = 0
-            while end < len(line) and line[end] in NO_LINE_START and line[end - 1] != " " and hung < 6:
-                end, hung = end + 1, hung + 1
-            moved = 0
-            while end - 1 > start and line[end - 1] in NO_LINE_END and moved < 6:
-                end, moved = end - 1, moved + 1
-        out.append(line[start:end])
-        start, room = end, rest
-    return out or [""]
+        least = max(end - 6, start + 1)
+        while end > least and line[end - 1] in NO_LINE_END:
+            end -= 1
+        at += 1
+        if end == at:
+            while end < min(at + 2, n) and line[end] in NO_LINE_START:
+                end += 1
+        out.append((line[start:end], True))
+        start, at, blank, room = end, max(at, end), -1, rest
+        used = sum(sizes[start:at])
+    return [*out, (line[start:], False)] if start < n or not out else out
 
 
 def wrap_kinsoku(text: Column, size: Column, first: Column, rest: Column) -> Column:
@@ -105,8 +110,7 @@ def wrap_kinsoku(text: Column, size: Column, first: Column, rest: Column) -> Col
         for t, s, f, r in zip(texts, sizes, firsts, rests):
             rows = []
             for i, line in enumerate(str(t or "").split("\n")):
-                parts = wrap_kinsoku_line(line, s, f if i == 0 else r, r)
-                rows += [{"line": p, "cut": k < len(parts) - 1} for k, p in enumerate(parts)]
+                rows += [{"line": p, "cut": cut} for p, cut in wrap_kinsoku_line(line, s, f if i == 0 else r, r)]
             made.append(rows)
         return pd.Series(made, dtype=object)
 

@@ -74,10 +74,10 @@ def s8_notes_markdown(spark, sf_dir):
 
 
 @query("g13_bookmarks", """
-WITH b AS (SELECT user_id AS doc_id, CAST(event_id % 40 AS INTEGER) AS page, CASE WHEN user_id % 2 = 0 THEN 'b' || event_id ELSE 'Page ' || event_id % 40 END AS name, event_id FROM events WHERE event_id < 3000)
+WITH b AS (SELECT user_id AS doc_id, CAST(event_id % 40 AS INTEGER) AS page, CASE WHEN user_id % 2 = 0 THEN 'b' || event_id ELSE 'Page ' || event_id % 40 END AS name, event_id FROM events)
 SELECT doc_id, page, name, row_number() OVER (PARTITION BY doc_id ORDER BY page, event_id)::INTEGER AS at FROM b""")
 def g13_bookmarks(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 3000")
+    e = table(spark, sf_dir, "events")
     page = (F.col("event_id") % 40).cast("int")
     per = e.groupBy(F.col("user_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", page.alias("page")))).alias("x"))
     new = F.to_json(F.transform("x", lambda x: F.array(x["page"].cast("string"), F.concat(F.lit("b"), x["event_id"].cast("string")))))
@@ -147,10 +147,10 @@ def p7_item_rect(spark, sf_dir):
     return items.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.round(F.get("r", F.lit(0)), 4).alias("x0"), F.round(F.get("r", F.lit(2)), 4).alias("x1"), F.get("r", F.lit(3)).alias("y1"))
 
 
-@query("j19_anchors_to_rects", f"WITH {_ITEMS} SELECT i.doc_id, i.page, e.user_id AS note, count(*) AS n FROM i JOIN (SELECT DISTINCT user_id, CAST(event_id % 20 AS BIGINT) AS s FROM events WHERE event_id < 2000) e ON i.doc_id = e.user_id WHERE (least(s + 5, greatest(i.n, 1)) - least(s, greatest(i.n, 1))) / greatest(i.n, 1)::DOUBLE * width > 0.1 GROUP BY ALL")
+@query("j19_anchors_to_rects", f"WITH {_ITEMS} SELECT i.doc_id, i.page, e.user_id AS note, count(*) AS n FROM i JOIN (SELECT DISTINCT user_id, CAST(event_id % 20 AS BIGINT) AS s FROM events) e ON i.doc_id = e.user_id WHERE (least(s + 5, greatest(i.n, 1)) - least(s, greatest(i.n, 1))) / greatest(i.n, 1)::DOUBLE * width > 0.1 GROUP BY ALL")
 def j19_anchors_to_rects(spark, sf_dir):
     items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.lit(0).alias("item"), F.lit(50.0).alias("x"), F.lit(700.0).alias("y"), (F.char_length("text") * 5.0).alias("width"), F.lit(12.0).alias("height"), F.char_length("text").alias("length"))
-    marks = table(spark, sf_dir, "events").where("event_id < 2000").select(F.col("user_id").alias("doc_id"), F.col("user_id").alias("note"), (F.col("event_id") % 20).alias("start")).distinct()
+    marks = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("user_id").alias("note"), (F.col("event_id") % 20).alias("start")).distinct()
     anchors = marks.join(items.select("doc_id", "page").distinct(), "doc_id").withColumns({"item": F.lit(0), "end": F.col("start") + 5})
     return A.anchors_to_rects(anchors, items).groupBy("doc_id", "page", "note").agg(F.count(F.lit(1)).alias("n"))
 

@@ -218,10 +218,10 @@ def j21_text_in_region(spark, sf_dir):
 
 
 @query("w8_merge_boxes", f"""
-WITH {GLYPHS_SQL}, k AS (SELECT * FROM glyphs WHERE {HIT_SQL} AND char_index % 3 = 0)
-SELECT doc_id, page, count(*) AS boxes FROM (SELECT *, lag(x1) OVER (PARTITION BY doc_id, page, op_index ORDER BY x0) AS p FROM k) WHERE p IS NULL OR x0 - p > 2 GROUP BY doc_id, page""")
+WITH {GLYPHS_SQL}, k AS (SELECT * FROM glyphs WHERE {HIT_SQL})
+SELECT doc_id, page, count(*) AS boxes FROM (SELECT *, lag(x1) OVER o AS p, lag(y0) OVER o AS q FROM k WINDOW o AS (PARTITION BY doc_id, page ORDER BY round(y0, 1) DESC, x0, x1)) WHERE p IS NULL OR x0 - p > 2 OR abs(y0 - q) > 2 GROUP BY doc_id, page""")
 def w8_merge_boxes(spark, sf_dir):
-    hits = G.glyphs_in_regions(glyph_table(spark, sf_dir), region_table(spark, sf_dir)).where("char_index % 3 = 0")
+    hits = G.glyphs_in_regions(glyph_table(spark, sf_dir), region_table(spark, sf_dir))
     return M.merge_boxes(hits, ["doc_id", "page"]).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("boxes"))
 
 
@@ -278,7 +278,7 @@ def j9_row_rule_band(spark, sf_dir):
 
 @query("w6_table_cells")
 def w6_table_cells(spark, sf_dir):
-    glyphs = M.build_rows(glyph_table(spark, sf_dir).where("page % 2 = 0"))
+    glyphs = M.build_rows(glyph_table(spark, sf_dir))
     return M.table_cells(M.row_stats(glyphs), glyphs)
 
 

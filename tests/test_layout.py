@@ -21,13 +21,18 @@ def test_wrap(spark):
         parts = R.wrap_line(line, 10, 60)
         assert "".join(parts).replace(" ", "") == line.replace(" ", "")
         assert all(len(p) == 1 or sum(map(R.width, p)) / 100 <= 60 for p in parts if p)
-        assert "".join(R.wrap_kinsoku_line(line, 10, 60, 60)) == line
+        assert "".join(x for x, _ in R.wrap_kinsoku_line(line, 10, 60, 60)) == line
     assert spark.range(1).select(R.wrap_text(F.lit("aa bb\ncc"), F.lit(10), F.lit(15))).first()[0] == ["aa", "bb", "cc"]
 
 
 def test_kinsoku():
-    assert R.wrap_kinsoku_line("日日日日日。日", 10, 50, 50)[0] == "日日日日日。"
-    assert R.wrap_kinsoku_line("日日日日（日", 10, 50, 50)[0] == "日日日日"
+    assert R.wrap_kinsoku_line("日日日日日。日", 10, 50, 50)[0] == ("日日日日日。", True)
+    assert R.wrap_kinsoku_line("日日日日（日", 10, 50, 50)[0] == ("日日日日", True)
+    # One closing mark is what does not fit, two more may follow; the rest goes down.
+    for marks, lines in ((2, [12]), (3, [13]), (4, [13, 1]), (7, [13, 4])):
+        assert [len(x) for x, _ in R.wrap_kinsoku_line("日" * 10 + "。" * marks, 10, 100, 100)] == ([10 + marks] if marks < 4 else lines)
+    # A blank that does not fit is no place to break at later.
+    assert R.wrap_kinsoku_line("aa bb", 10, 15, 15) == [("aa ", True), ("bb", False)]
 
 
 def test_rows_follow_the_anchor(spark):

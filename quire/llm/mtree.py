@@ -236,7 +236,7 @@ def search(queries: DataFrame, treed: DataFrame, roots: DataFrame, greatest: flo
 def top_k(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose vec_id is divisible by `every`."""
     treed, roots, greatest, width = build(quantised(embeddings))
-    found = search(treed.where(F.col("vec_id") % every == 0), treed, roots, greatest, width, k)
+    found = search(treed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), treed, roots, greatest, width, k)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

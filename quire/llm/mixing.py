@@ -1,11 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
-Every document of a source is expected target / source_size times. The whole part of that
-is allocated for certain; the rest p is sampled in Pareto order, by the rank
-(u / (1 - u)) / (p / (1 - p)) with u a stable hash of the row, smallest first, until the
-words that the source still lacks are reached. The cut is found in two steps, words per
-(source, slice of u) and then rank order inside the one slice where the cut falls, so no
-source is ever sorted in one task; it is then one row per source, and applying it is a map.
+A source needs target / source_size copies of each document on average. The whole part of
+that is allocated for certain; the fraction is the mean inclusion probability p of one more
+copy. Longer documents are likelier: a document has p + d (g - G), with g = size / (size +
+HALF) in thousandths, G the mean of g over the words of the source and d half the smaller of
+p and 1 - p, so that probabilities stay inside (p - d, p + d) and the expected words are the
+words lacked. Of these a sample of fixed size is taken in Pareto order: by the odds of u, a
+stable hash of the row, over the odds of inclusion, smallest first, until the words that the
+source lacks are reached. The cut is found in two steps, words per (source, slice of ranks)
+and then rank order inside the one slice where the cut falls, so no source is ever sorted in
+one task; it is then one row per source, and applying it is a map.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; rows alike in all of doc_id and text share their u and are taken or left together;
@@ -20,7 +24,9 @@ from pyspark.sql import functions as F
 from quire.llm.util import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of u for finding the cut; the slice where a cut falls holds 1/SLICES of its source.
+#: Words of a document halfway between the least and the greatest inclusion probability.
+HALF = 100
+#: Slices of ranks for finding the cut; the slice where a cut falls holds about 1/SLICES of its source.
 SLICES = 16384
 #: Plans with more sources than this join them instead of broadcasting (each row is under 200 bytes plus its name).
 MAX_BROADCAST_SOURCES = 10_000
@@ -36,7 +42,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(per_source: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size) -> also target: weights repeat over sources in code-point order, targets stop at most x source_size.
+    """(source, source_size, mean_lift) -> also target: weights repeat over sources in code-point order, targets stop at most x source_size.
 
     Sharing the excess again by weight until no target is above its stop fills sources in
     the order of stop / weight up to one common level; one row per source is all it reads.
@@ -47,13 +53,13 @@ def targets(per_source: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total
     by_ratio = Window.orderBy(F.col("stop") / F.col("w"), F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     levels = stopped.select(
-        "source", "source_size", "w", "stop",
+        "source", "source_size", "mean_lift", "w", "stop",
         ((F.sum("source_size").over(everything) * F.lit(float(total_share)) - (F.sum("stop").over(by_ratio) - F.col("stop")))
          / (F.sum("w").over(everything) - (F.sum("w").over(by_ratio) - F.col("w")))).alias("level"),
         F.row_number().over(by_ratio).alias("k"))
     open_ = F.when(F.col("level") < F.col("stop") / F.col("w"), F.struct("k", "level"))
     return levels.withColumn("first", F.min(open_).over(everything)).select(
-        "source", "source_size",
+        "source", "source_size", "mean_lift",
         F.round(F.when(F.col("first").isNull() | (F.col("k") < F.col("first.k")), F.col("stop"))
                 .otherwise(F.col("first.level") * F.col("w")), 6).alias("target"))
 
@@ -63,12 +69,25 @@ def rank(u, p):
     return (u / (1 - u)) / (p / (1 - p))
 
 
-def cuts(slim: DataFrame, plan: DataFrame) -> DataFrame:
+def lift(size):
+    """How much likelier a document of this size is, in thousandths."""
+    return F.floor(size * 1000.0 / (size + HALF)).cast("long")
+
+
+def inclusion(size, p, mean_lift):
+    """The inclusion probability of one more copy of a document."""
+    return p + F.least(p, 1 - p) / 2 * (lift(size) / 1000.0 - mean_lift)
+
+
+def cuts(slim: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     """One row per source: whole copies for all, p, and the largest rank that gets one more (null: none)."""
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.floor(copies).cast("long")).withColumn("p", copies - F.col("whole")).withColumn(
         "lacks", F.col("target") - F.col("whole") * F.col("source_size"))
-    sliced = slim.withColumn("slice", F.floor(F.col("u") * SLICES))
+    named = plan.select(F.col("source").alias("of"), "p", "mean_lift")
+    odds = slim.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("of"))).where("p > 0").select(
+        "source", "size", rank(F.col("u"), inclusion(F.col("size"), F.col("p"), F.col("mean_lift"))).alias("rank"))
+    sliced = odds.withColumn("slice", F.floor(F.col("rank") / (1 + F.col("rank")) * SLICES))
     per_slice = sliced.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source").orderBy("slice")
     run_up = per_slice.withColumn("before", F.sum("words").over(run) - F.col("words"))
@@ -76,10 +95,9 @@ def cuts(slim: DataFrame, plan: DataFrame) -> DataFrame:
         (F.col("p") > 0) & (F.col("before") < F.col("lacks"))).groupBy(F.col("p.source").alias("source"), "p", "lacks").agg(
         F.max(F.struct("slice", "before")).alias("at"))
     inside = sliced.alias("s").join(at.alias("a"), F.col("s.source").eqNullSafe(F.col("a.source")) & (F.col("s.slice") == F.col("a.at.slice")))
-    tied = inside.groupBy(F.col("a.source").alias("source"), "p", "lacks", F.col("at.before").alias("before"), "u").agg(F.sum("size").alias("words"))
-    ranked = tied.withColumn("rank", rank(F.col("u"), F.col("p")))
+    tied = inside.groupBy(F.col("a.source").alias("source"), "p", "lacks", F.col("at.before").alias("before"), "rank").agg(F.sum("size").alias("words"))
     reached = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("rank")) - F.col("words")
-    near = ranked.withColumn("reached", reached).groupBy("source", "p").agg(
+    near = tied.withColumn("reached", reached).groupBy("source", "p").agg(
         F.max(F.when(F.col("reached") + F.col("words") / 2 <= F.col("lacks"), F.col("rank"))).alias("last"),
         F.min("rank").alias("least"))
     # Where no row of the slice is taken, the cut lies just below its least rank.
@@ -91,14 +109,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: fl
     """docs with __size, __source_size, __target and __copies (how often the mix takes the row)."""
     sized = sizes(docs)
     slim = stage(sized.select("source", F.col("__size").alias("size"), F.col("__u").alias("u")), "mix-sizes")
-    plan = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, most)
-    found = stage(cuts(slim, plan), "mix-cuts")
-    small = found.count() <= MAX_BROADCAST_SOURCES
-    named = found.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "whole", "p", "cut")])
+    per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * lift(F.col("size"))).alias("lifted"))
+    per_source = stage(per_source.withColumn("mean_lift", F.when(F.col("source_size") > 0, F.col("lifted") / 1000.0 / F.col("source_size")).otherwise(0.0)), "mix-sources")
+    small = per_source.count() <= MAX_BROADCAST_SOURCES
+    plan = stage(targets(per_source, weights, total_share, most), "mix-plan")
+    found = stage(cuts(slim, plan, small), "mix-cuts")
+    named = found.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "whole", "p", "mean_lift", "cut")])
     out = sized.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("__source")))
-    extra = (F.col("__p") > 0) & (rank(F.col("__u"), F.col("__p")) <= F.col("__cut"))
+    extra = (F.col("__p") > 0) & (rank(F.col("__u"), inclusion(F.col("__size"), F.col("__p"), F.col("__mean_lift"))) <= F.col("__cut"))
     return out.withColumn("__copies", F.col("__whole") + F.coalesce(extra, F.lit(False)).cast("long")).drop(
-        "__source", "__whole", "__p", "__cut", "__u")
+        "__source", "__whole", "__p", "__mean_lift", "__cut", "__u")
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
@@ -119,7 +139,10 @@ WITH sized AS (
          (CAST('0x' || substr(md5(concat_ws('|', 'mix', CAST(doc_id AS VARCHAR), md5(text))), 1, 13) AS BIGINT)::DOUBLE + 0.5)
            / 4503599627370496.0 AS u
   FROM documents),
-per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE WHEN sum(size) > 0 THEN sum(size * CAST(floor(size * 1000.0::DOUBLE / (size + 100)) AS BIGINT))::DOUBLE / 1000.0::DOUBLE / sum(size)::DOUBLE ELSE 0 END AS mean_lift
+  FROM sized GROUP BY source),
 weighed AS (
   SELECT *, [3.0::DOUBLE, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w,
          source_size * 2.0::DOUBLE AS stop FROM per),
@@ -129,18 +152,22 @@ levels AS (
             / (sum(w) OVER () - (sum(w) OVER (ORDER BY k) - w)) AS level FROM ordered),
 first AS (SELECT min(k) AS k, arg_min(level, k) AS level FROM levels WHERE level < stop / w),
 plan AS (
-  SELECT l.source, l.source_size,
+  SELECT l.source, l.source_size, l.mean_lift,
          round(CASE WHEN f.k IS NULL OR l.k < f.k THEN l.stop ELSE f.level * l.w END, 6) AS target
   FROM levels l LEFT JOIN first f ON true),
 parts AS (
   SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS whole,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM plan),
-ranked AS (
+chances AS (
   SELECT s.doc_id, s.size, s.u, p.source, p.source_size, p.target, p.whole, p.copies - p.whole AS p,
          p.target - p.whole * p.source_size AS lacks,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(s.size) OVER (PARTITION BY s.source, s.u) AS words
-  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source)
+         (p.copies - p.whole) + least(p.copies - p.whole, 1 - (p.copies - p.whole)) / 2
+           * (CAST(floor(s.size * 1000.0::DOUBLE / (s.size + 100)) AS BIGINT) / 1000.0::DOUBLE - p.mean_lift) AS chance
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
+odds AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM chances),
+ranked AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         sum(size) OVER (PARTITION BY source, rank) AS words FROM odds)
 SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN p > 0 AND upto - words / 2.0 <= lacks THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked

@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.util import Memo
+from quire.llm.util import Memo, per_worker
 
 #: Words of more symbols than this use the heap.
 SHORT = 256
 #: Chunks and words that a worker remembers (each up to twice as many); longer ones than MEMO_LENGTH are not kept.
-MEMO_ITEMS, MEMO_LENGTH = 200_000, 64
+MEMO_ITEMS, MEMO_LENGTH = 150_000, 64
 #: White space in Unicode's sense (fixed values).
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -132,15 +132,9 @@ class Codec:
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def codec(definition: bytes) -> Codec:
     """One codec per Python worker and vocabulary."""
-    key = hash(definition)
-    if key not in _codecs:
-        _codecs[key] = Codec(definition)
-    return _codecs[key]
+    return per_worker(("codec", hash(definition)), lambda: Codec(definition))
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:

@@ -9,8 +9,9 @@ Learning is one pass in which every task returns one sum per language it met; Sp
 these up. Prototypes are languages x DIMENSIONS numbers, bound by MAX_LANGUAGES. Nothing
 else of the corpus is held anywhere.
 
-Defined results: a null text, and one without letters, is `und` with score 0; nothing to
-learn from makes every text `und`; rows that repeat count as often as they stand there;
+Defined results: a null text, and one without letters (marks alone are none), is `und` with
+score 0; nothing to learn from makes every text `und`; of languages with equal cosines the
+first in order is taken; rows that repeat count as often as they stand there;
 null doc_ids are not held out and are learned from; an empty table gives an empty table.
 """
 
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.util import Memo
+from quire.llm.util import Memo, per_worker
 
 DIMENSIONS = 512
 SEED = 20260101
@@ -38,7 +39,7 @@ STEP = 1 << 20
 #: Trigrams whose vectors a worker remembers: as many rows of DIMENSIONS bytes.
 MEMO_GRAMS = 60_000
 
-NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+NOT_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 class Space:
@@ -50,10 +51,10 @@ class Space:
 
     def forget(self) -> None:
         self.rows: dict[int, int] = {}
-        self.matrix = np.empty((1024, DIMENSIONS), "float32")
+        self.matrix = np.empty((1024, DIMENSIONS), "int8")
 
     def letter(self, code: int) -> np.ndarray:
-        return np.random.default_rng([SEED, code]).choice(np.array([-1, 1], "float32"), DIMENSIONS)
+        return np.random.default_rng([SEED, code]).choice(np.array([-1, 1], "int8"), DIMENSIONS)
 
     def gram(self, key: int) -> np.ndarray:
         a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
@@ -71,28 +72,23 @@ class Space:
     def vector(self, text: str | None) -> np.ndarray | None:
         """The sum of the trigram vectors of the text, or None without letters."""
         bare = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-        if not bare:
+        if not LETTER.search(bare):
             return None
         total = np.zeros(DIMENSIONS, "float32")
         codes = np.frombuffer(f" {bare} ".encode("utf-32-le"), "<u4").astype("int64")
         for at in range(0, len(codes) - 2, STEP):
             part = codes[at : at + STEP + 2]
             keys, counts = np.unique(part[:-2] << 42 | part[1:-1] << 21 | part[2:], return_counts=True)
-            for i in range(0, len(keys), 4096):
+            for i in range(0, len(keys), 1024):
                 if len(self.rows) > MEMO_GRAMS:
                     self.forget()
-                rows = [self.row(k) for k in keys[i : i + 4096].tolist()]
-                total += counts[i : i + 4096].astype("float32") @ self.matrix[rows]
+                rows = [self.row(k) for k in keys[i : i + 1024].tolist()]
+                total += counts[i : i + 1024].astype("float32") @ self.matrix[rows].astype("float32")
         return total
 
 
-_space: list[Space] = []
-
-
 def space() -> Space:
-    if not _space:
-        _space.append(Space())
-    return _space[0]
+    return per_worker("trigrams", Space)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -7,7 +7,8 @@ file, finds a document by binary search and decompresses only its frame.
 
 Texts are encoded by the tokenizers library. A text is cut before single blanks, where
 byte-level BPE of this kind always cuts too, and a worker remembers the ids of pieces it has
-met, so the library encodes each distinct piece about once per worker.
+met, so the library encodes each distinct piece about once per worker. New pieces of a word
+and a mark, or of two lines, are put together from pieces met before.
 
 Files are written under names of their own to the shared folder and count only if their task
 succeeded, which is what the manifest (Parquet) lists: lost executors and repeated tasks
@@ -25,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -37,14 +39,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import byte_letters
-from quire.llm.util import Memo, new_path, stage
+from quire.llm.util import Memo, new_path, per_worker, stage
 
 #: Fixed values of the seekable format and of skippable frames.
 SKIPPABLE, SEEK_TABLE, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 HEAD = struct.Struct("<q?3x")  # doc_id, whether it is null
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 #: Pieces that a worker remembers (up to twice as many).
-MEMO_ITEMS = 400_000
+MEMO_ITEMS = 300_000
+#: Letters below are Latin ones that every version of Unicode classes alike; marks that are pre-tokens of their own after a word.
+PLAIN_END, MARKS = "\u0250", set(",.;:!?")
 #: Bytes of neighbouring frames that a full read asks for at once.
 READ_AHEAD = 4 << 20
 
@@ -74,39 +78,50 @@ class PieceEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.model = self.library.model
-        self.letters = dict(enumerate(byte_letters()[:128]))
+        self.letters = dict(enumerate(byte_letters()))
         self.after_blank = Memo(self.encode_after_blank, MEMO_ITEMS)
-
-    def encode_piece(self, piece: str) -> bytes:
-        """Plain words go straight to the library's BPE model; all else takes the library's whole way."""
-        if piece.isascii() and "<" not in piece and piece.isprintable():
-            ids = [t.id for word in self.words.findall(piece) for t in self.model.tokenize(word.translate(self.letters))]
-        else:
-            ids = self.library.encode(piece, add_special_tokens=False).ids
-        return np.asarray(ids, "<u4").tobytes()
+        self.bare = Memo(lambda part: self.encode_piece(part, ""), MEMO_ITEMS // 10)
+        self.by_token = Memo(self.tokenized, MEMO_ITEMS // 10)
+        self.line_end = self.tokenized("\n")
+
+    def tokenized(self, word: str) -> bytes:
+        """The ids of one pre-token by the library's model."""
+        spelt = word.translate(self.letters) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def encode_piece(self, piece: str, blank: str = " ") -> bytes:
+        """The ids of a piece after a blank (or none). Plain words and marks are pre-tokens for certain and go straight to the library's BPE model; all else takes the library's whole way."""
+        if piece < PLAIN_END and max(piece) < PLAIN_END:
+            if piece.isalpha():
+                return self.tokenized(blank + piece)
+            word, mark = piece[:-1], piece[-1]
+            if mark in MARKS and word.isalpha():
+                return (self.after_blank if blank else self.bare)[word] + self.bare[mark]
+            if piece in MARKS:
+                return self.tokenized(blank + piece)
+            lines = piece.split("\n")
+            if len(lines) > 1 and not any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+                return (self.after_blank if blank else self.bare)[lines[0]] + b"".join([self.line_end + self.bare[x] for x in lines[1:]])
+            if piece.isprintable() and "<" not in piece:
+                return b"".join(map(self.by_token.__getitem__, self.words.findall(blank + piece)))
+        return np.asarray(self.library.encode(blank + piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_after_blank(self, part: str) -> bytes:
         if not part or part[0].isspace():
             raise Odd
-        return self.encode_piece(" " + part)
+        return self.encode_piece(part)
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         try:
             found = list(map(self.after_blank.__getitem__, rest))
         except Odd:
-            return b"".join(map(self.encode_piece, self.runs.findall(text)))
-        return self.encode_piece(first) + b"".join(found)
-
-
-_encoders: dict[int, PieceEncoder] = {}
+            return b"".join([self.encode_piece(x, "") for x in self.runs.findall(text)])
+        return (self.encode_piece(first, "") if first else b"") + b"".join(found)
 
 
 def encoder(definition: bytes) -> PieceEncoder:
-    key = hash(definition)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(definition)
-    return _encoders[key]
+    return per_worker(("pieces", hash(definition)), lambda: PieceEncoder(definition))
 
 
 class FrameWriter:

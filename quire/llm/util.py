@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a single process, where that is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -36,6 +39,18 @@ def hash128(*cols: Column | str) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols]) for seed in (17, 8191)]
 
 
+_held: dict = {}
+
+
+def per_worker(key, make: Callable):
+    """What the operator at work keeps in its Python worker. Workers serve one operator after the other, so what an earlier one kept goes."""
+    found = _held.get(key)
+    if found is None:
+        _held.clear()
+        found = _held[key] = make()
+    return found
+
+
 class Memo(dict):
     """A dict that computes what it lacks. Past its limit it starts afresh, taking back from the last generation what is asked for again."""
 

@@ -16,7 +16,6 @@ def spark():
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, pos int, h1 long, id long, n int, seg int, label string, u long, slice long"
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
 
 
 def passage(seed: int, n: int) -> str:

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quire.llm import bpe, graph, langid, linededup, mixing, mtree, omh, paragraphs, simhash, tokenbin
+from pyspark.sql import functions as F
+
+from quire.llm import bpe, graph, langid, linededup, mixing, mtree, omh, paragraphs, rare, simhash, tokenbin
 from .conftest import passage
 
 DATA = "/root/testdata/sf0.001"
@@ -101,6 +103,65 @@ def test_top_k_is_brute_force(spark, monkeypatch):
         assert found[i] == [(j, scores[j]) for j in order]
 
 
+def test_top_k_of_repeated_queries(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE_ROWS", 60)
+    x = np.random.default_rng(2).normal(size=(900, 4))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    q = np.floor(256 * x).astype("i8")
+    found = collections.defaultdict(list)
+    for r in mtree.op2_top_k(spark.createDataFrame([*rows, rows[50], rows[50]], "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    scores = q @ q[50]
+    assert found[50] == [(j, scores[j]) for j in sorted((j for j in range(900) if j != 50), key=lambda j: (-scores[j], j))[:5]]
+
+
+def test_rare_items_lose_no_pair(spark):
+    r, bags = random.Random(9), []
+    for base in range(40):
+        own = [r.randint(0, 400) for _ in range(r.randint(1, 30))] + [7] * r.choice([0, 0, 20])
+        for _ in range(3):
+            bags.append([x if r.random() > 0.15 else r.randint(0, 400) for x in own])
+    rows = [(i, i % 50, b) for i, b in enumerate(bags)]
+    made = rare.prefixes(spark.createDataFrame(rows, "id long, label long, items array<long>"), 0.8)
+    found = {(x.a, x.b) for x in rare.pairs_of(made, 0.8, lambda a, b: F.lit(True)).collect()}
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags[i + 1 :], i + 1):
+            common = sum((collections.Counter(a) & collections.Counter(b)).values())
+            if i % 50 != j % 50 and common >= max(len(a), len(b)) - int(0.2 * max(len(a), len(b)) + 1e-9):
+                assert (i, j) in found
+    assert len(found) < len(bags) ** 2 / 4
+
+
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.1, 0.15, 0.18])
+def test_near_duplicates_at_every_distance(spark, share):
+    r, rows = random.Random(13), []
+    for base in range(40):
+        text = passage(base + 300, 200).split(" ")
+        copy = list(text)
+        for k in r.sample(range(200), int(200 * share)):
+            copy[k] = f"new{r.randint(0, 10**6)}"
+        rows += [(2 * base, " ".join(text)), (2 * base + 1, " ".join(copy))]
+    found = {x.doc_id: x.class_id for x in omh.op8_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] in (i, i - i % 2) for i, _ in rows)
+    assert sum(found[2 * b + 1] == 2 * b for b in range(40)) >= 36
+
+
+def test_longer_documents_are_likelier(spark):
+    rows = [(i, "w " * (20 if i % 2 else 400), f"s{i % 3}") for i in range(6000)]
+    found = mixing.op9_mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for k in range(3):
+        own = [x for x in found if x.doc_id % 3 == k]
+        target, size = own[0].target, own[0].source_size
+        assert abs(sum(x.taken for x in own) - target) <= 400
+        p = target / size - target // size
+        d = min(p, 1 - p) / 2
+        lifts = {n: n * 1000 // (n + 100) / 1000 for n in (20, 400)}
+        mean = sum(lifts[x.size] * x.size for x in own) / size
+        for n in (20, 400) if p else ():
+            rate = np.mean([x.taken // n - target // size for x in own if x.size == n])
+            assert abs(rate - (p + d * (lifts[n] - mean))) < 0.05
+
+
 def test_language_on_held_out(docs):
     lang = {d.doc_id: d.lang for d in docs.collect()}
     found = langid.op4_language_id(docs).collect()

@@ -143,6 +143,13 @@ def redact_outline(outline: DataFrame, killed: DataFrame) -> DataFrame:
     return outline.join(found, ["doc_id", "node_id"], "left").withColumn("redacted", F.coalesce("redacted", F.lit(False)))
 
 
+def clean_metadata(docs: DataFrame, producer: str = "redacted") -> DataFrame:
+    """docs (info: map, xmp) with an info map of the producer only and no xmp, and what was removed; a null info map stays null and is not listed, an empty one is."""
+    named = F.create_map(F.lit("Producer"), F.lit(producer))
+    removed = F.array_compact(F.array(F.when(F.col("info").isNotNull(), "Info"), F.when(F.col("xmp").isNotNull(), "XMP Metadata")))
+    return docs.withColumns({"removed": removed, "info": F.when(F.col("info").isNotNull(), named), "xmp": F.lit(None).cast(docs.schema["xmp"].dataType)})
+
+
 def missing_chars(needed: DataFrame, font_chars: DataFrame) -> DataFrame:
     """Distinct characters (doc_id, font_alias, text) that the font cannot show."""
     return needed.select("doc_id", "font_alias", "text").distinct().join(font_chars, ["doc_id", "font_alias", "text"], "left_anti")

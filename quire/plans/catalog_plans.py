@@ -47,6 +47,27 @@ def s6_save_latest(spark, sf_dir):
     return C.save_latest(e).select("doc_id", F.col("updated").alias("event_id"))
 
 
+@query("s5_load_json", """
+WITH u AS (SELECT user_id, count(*) FILTER (event_id % 2 = 0) AS n, max(event_id) AS last FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'u' || user_id END AS doc_id, CASE WHEN user_id % 5 = 0 OR user_id % 5 = 1 THEN 0 ELSE n END::BIGINT AS n_items,
+       CASE WHEN user_id % 5 = 0 OR user_id % 5 = 2 THEN 0.0 ELSE last END::DOUBLE AS updated, user_id % 5 = 0 AS corrupt FROM u""")
+def s5_load_json(spark, sf_dir):
+    user = F.col("user_id")
+    item = F.struct(F.col("event_id").cast("string").alias("id"), (F.col("event_id") % 40).cast("int").alias("page"), F.col("event_type").alias("type"))
+    each = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.when(F.col("event_id") % 2 == 0, item)).alias("items"), F.max("event_id").cast("double").alias("last"))
+    # Nulls are left out of the JSON, so some objects lack a key.
+    whole = F.struct(F.concat(F.lit("u"), user).alias("doc_id"), F.when(user % 5 != 1, F.col("items")).alias("items"), F.when(user % 5 != 2, F.col("last")).alias("updated"))
+    text = F.when(user % 5 == 0, F.lit("{broken")).otherwise(F.to_json(whole))
+    read = C.parse_json(each.select("user_id", text.alias("value")))
+    return read.select("user_id", "doc_id", F.size("items").cast("long").alias("n_items"), "updated", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+@query("s9_outcome", "SELECT doc_id, CASE WHEN text IS NULL OR replace(text, 'tion', 'sion') = text THEN 'unchanged' ELSE 'changed' END AS outcome FROM documents")
+def s9_outcome(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", C.outcome("text", F.replace("text", F.lit("tion"), F.lit("sion"))).alias("outcome"))
+
+
 @query("s7_unique_names", """
 WITH n AS (SELECT event_id, replace(event_type || ':' || user_id % 7, ':', '') AS stem FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY event_id) AS k FROM n)

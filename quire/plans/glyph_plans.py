@@ -120,15 +120,28 @@ def a9_killed_text(spark, sf_dir):
 
 
 @query("j14_redact_outline", rf"""
-WITH {GLYPHS_SQL}, k AS (SELECT doc_id, lower(trim(regexp_replace(string_agg(text, '' ORDER BY op_index, char_index), '\s+', ' ', 'g'))) AS t FROM glyphs WHERE {HIT_SQL} GROUP BY doc_id, page, font_alias),
-o AS (SELECT conv_id AS doc_id, turn AS node_id, substr(text, 1, 3) AS title, lower(trim(regexp_replace(substr(text, 1, 3), '\s+', ' ', 'g'))) AS n FROM conversations)
-SELECT doc_id, node_id, EXISTS (SELECT 1 FROM k WHERE k.doc_id = o.doc_id AND k.t <> '' AND (contains(o.n, k.t) OR contains(k.t, o.n))) AS redacted FROM o""")
+WITH {GLYPHS_SQL}, k AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(string_agg(text, '' ORDER BY op_index, char_index), '\s+', ' ', 'g'))) AS t FROM glyphs WHERE {HIT_SQL} GROUP BY doc_id, page, font_alias),
+w AS (SELECT conv_id AS doc_id, turn, unnest(string_split(text, ' ')) AS title, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM conversations),
+o AS (SELECT doc_id, turn * 1000000 + pos AS node_id, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS n FROM w)
+SELECT doc_id, node_id::BIGINT AS node_id, EXISTS (SELECT 1 FROM k WHERE k.doc_id = o.doc_id AND k.t <> '' AND (contains(o.n, k.t) OR contains(k.t, o.n))) AS redacted FROM o""")
 def j14_redact_outline(spark, sf_dir):
     killed = G.killed_text(G.glyphs_in_regions(glyph_table(spark, sf_dir), region_table(spark, sf_dir)))
-    outline = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("node_id"), F.substring("text", 1, 3).alias("title"))
+    words = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.split("text", " ", -1)).alias("at", "title"))
+    outline = words.select("doc_id", (F.col("turn").cast("long") * 1000000 + F.col("at")).alias("node_id"), "title")
     return G.redact_outline(outline, killed).select("doc_id", "node_id", "redacted")
 
 
+@query("p16_clean_metadata", """
+SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'redacted' END AS producer, CASE WHEN page_id % 3 <> 0 THEN 1 END AS n_keys, true AS no_xmp,
+       CASE WHEN page_id % 3 <> 0 AND page_id % 2 = 0 THEN 'Info,XMP Metadata' WHEN page_id % 3 <> 0 THEN 'Info' WHEN page_id % 2 = 0 THEN 'XMP Metadata' ELSE '' END AS removed FROM pages""")
+def p16_clean_metadata(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    info = F.when(F.col("page_id") % 3 != 0, F.create_map(F.lit("Title"), F.col("url"), F.lit("Producer"), F.lit("x")))
+    done = G.clean_metadata(p.select("page_id", info.alias("info"), F.when(F.col("page_id") % 2 == 0, F.col("html")).alias("xmp")))
+    n = F.when(F.col("info").isNotNull(), F.size("info"))
+    return done.select("page_id", F.try_element_at("info", F.lit("Producer")).alias("producer"), n.alias("n_keys"), F.col("xmp").isNull().alias("no_xmp"), F.array_join("removed", ",").alias("removed"))
+
+
 @query("j8_missing_chars", f"WITH {GLYPHS_SQL} SELECT DISTINCT doc_id, text FROM glyphs g WHERE font_alias = 'F1' AND NOT EXISTS (SELECT 1 FROM glyphs h WHERE h.doc_id = g.doc_id AND h.font_alias = 'F2' AND h.text = g.text)")
 def j8_missing_chars(spark, sf_dir):
     g = glyph_table(spark, sf_dir).withColumn("kind", F.col("font_alias")).withColumn("font_alias", F.lit("F"))

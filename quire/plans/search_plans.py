@@ -32,6 +32,17 @@ def t1_segments(spark, sf_dir):
     return segs.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.char_length(T.flat("lines")).cast("long").alias("n_chars"))
 
 
+@query("t1_table_segments", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS para FROM documents),
+c AS (SELECT doc_id, para, unnest(string_split(line, ',')) AS cell, generate_subscripts(string_split(line, ','), 1) - 1 AS col FROM l WHERE contains(line, ','))
+SELECT doc_id, (para // 49 + 1)::INTEGER AS page, para::INTEGER AS para, NULL::INTEGER AS cell_row, NULL::INTEGER AS cell_col, md5(line) AS text FROM l WHERE NOT contains(line, ',')
+UNION ALL SELECT doc_id, (para // 49 + 1)::INTEGER, para::INTEGER, 0, col::INTEGER, md5(cell) FROM c""")
+def t1_table_segments(spark, sf_dir):
+    lines = S.line_segments(_docs(spark, sf_dir)).withColumn("table_like", F.get("lines", F.lit(0)).contains(","))
+    cells = lines.where("table_like").select("doc_id", "page", "para", F.lit(0).alias("row"), F.posexplode(F.split(F.get("lines", F.lit(0)), ",", -1)).alias("col", "text"))
+    return S.table_segments(lines, cells).select("doc_id", "page", "para", "cell_row", "cell_col", F.md5(T.flat("lines")).alias("text"))
+
+
 @query("t2_find_spans", f"WITH {SPANS} SELECT doc_id, a, b FROM spans")
 def t2_find_spans(spark, sf_dir):
     found = S.segments(_docs(spark, sf_dir)).select("doc_id", F.inline(T.find_spans(T.flat("lines"), F.lit("tion"))))

@@ -113,15 +113,27 @@ def write_new(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def outcome(before: Column | str, after: Column | str) -> Column:
+    """`changed` or `unchanged`: whether a run would write something new for a row; nulls are equal."""
+    before, after = (F.col(c) if isinstance(c, str) else c for c in (before, after))
+    return F.when(before.eqNullSafe(after), "unchanged").otherwise("changed")
+
+
 ANNOTATIONS = "doc_id string, items array<struct<id:string,page:int,type:string,rects:array<array<double>>,color:string,note:string,text:string,created:double>>, updated double"
 
 
-def load_json(spark: SparkSession, path: str, schema: str = ANNOTATIONS) -> DataFrame:
-    """One JSON object per file, missing keys as empty lists and 0; unreadable files keep their text in _corrupt_record."""
-    read = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+def parse_json(rows: DataFrame, text: str = "value", schema: str = ANNOTATIONS) -> DataFrame:
+    """rows with the keys of the JSON object in text: a missing list is empty, a missing time 0; what cannot be read stays in _corrupt_record (null for null)."""
+    held = F.from_json(text, schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    read = rows.withColumn("__json", held).select(*[c for c in rows.columns if c != text], "__json.*")
     return read.withColumns({"items": F.coalesce("items", F.array().cast(read.schema["items"].dataType)), "updated": F.coalesce("updated", F.lit(0.0))})
 
 
+def load_json(spark: SparkSession, path: str, schema: str = ANNOTATIONS) -> DataFrame:
+    """One JSON object per file, as by parse_json."""
+    return parse_json(spark.read.text(path, wholetext=True), "value", schema)
+
+
 def expire(rows: DataFrame, now: Column, hours: float, stamp: str = "mtime") -> DataFrame:
     """Rows not older than the given hours."""
     return rows.where(F.col(stamp) >= now - F.make_interval(hours=F.lit(int(hours))))

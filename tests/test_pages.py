@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import glyphs as G
 from quire.operators import pageplan as P
 from quire.sources import catalog as C
 
@@ -78,3 +79,17 @@ def test_files(spark, tmp_path):
     (tmp_path / "j" / "2.json").write_text('{"doc_id": "e"}')
     read = {r.doc_id: (len(r["items"]), r.updated) for r in C.load_json(spark, str(tmp_path / "j")).collect()}
     assert read == {"d": (1, 0.0), "e": (0, 0.0)}
+
+
+def test_json_and_outcome(spark):
+    rows = spark.createDataFrame([(1, '{"doc_id": "a", "updated": 2}'), (2, "{oops"), (3, None), (4, "{}")], "k int, value string")
+    read = {r.k: (r.doc_id, len(r["items"]), r.updated, r["_corrupt_record"]) for r in C.parse_json(rows).collect()}
+    assert read == {1: ("a", 0, 2.0, None), 2: (None, 0, 0.0, "{oops"), 3: (None, 0, 0.0, None), 4: (None, 0, 0.0, None)}
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b"), (None, None), (None, "a")], "x string, y string")
+    assert [r.o for r in pairs.select(C.outcome("x", "y").alias("o")).collect()] == ["unchanged", "changed", "unchanged", "changed"]
+
+
+def test_clean_metadata(spark):
+    rows = spark.createDataFrame([(1, {"Author": "x"}, "<x/>"), (2, {}, None), (3, None, "<x/>"), (4, None, None)], "k int, info map<string,string>, xmp string")
+    done = {r.k: (r["info"], r.xmp, r.removed) for r in G.clean_metadata(rows, "p").collect()}
+    assert done == {1: ({"Producer": "p"}, None, ["Info", "XMP Metadata"]), 2: ({"Producer": "p"}, None, ["Info"]), 3: (None, None, ["XMP Metadata"]), 4: (None, None, [])}

@@ -70,8 +70,9 @@ def term_hits(segs: DataFrame, terms: Sequence[str], ignore_case: bool = False)
     listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(w).alias("term")) for i, w in enumerate(words)])
     keys = [c for c in segs.columns if c != "lines"]
     held = segs.withColumn("__text", text).where(any_of(F.col("__text"), words, ignore_case))
-    each = held.select(*keys, "__text", F.inline(listed))
-    return each.withColumn("count", count_hits(F.col("__text"), F.col("term"), ignore_case)).where("count > 0").drop("__text")
+    # Counted beside each other, so that only terms with hits become rows and none carries the text.
+    counted = F.transform(listed, lambda x: F.struct(x["ord"].alias("ord"), x["term"].alias("term"), count_hits(F.col("__text"), x["term"], ignore_case).alias("count")))
+    return held.select(*keys, F.inline(F.filter(counted, lambda x: x["count"] > 0)))
 
 
 def any_of(text: Column, words: Sequence[str], ignore_case: bool) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import search as S
 from quire.plans.registry import query, table
+from quire.streaming import sessions
 
 #: Terms that the queries look for; the last never occurs.
 TERMS = ["the", "and", "tion", "License", "zqzqzq"]
@@ -91,6 +92,14 @@ def a5_term_counts(spark, sf_dir):
     return S.term_counts(S.segments(_docs(spark, sf_dir)), TERMS)
 
 
+@query("r6_scan_stream", f"""
+WITH {TERMS_SQL} SELECT conv_id AS doc_id, turn, ord, term, ((length(text) - length(replace(text, term, ''))) // length(term))::BIGINT AS count
+FROM conversations, terms WHERE contains(text, term)""")
+def r6_scan_stream(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.array("text").alias("lines"))
+    return sessions.scan_stream(turns, TERMS).select("doc_id", "turn", "ord", "term", "count")
+
+
 @query("a6_hit_words", f"WITH {TERMS_SQL}, {_HITS} SELECT words, count(*) AS segments FROM (SELECT doc_id, array_to_string(list_sort(list(DISTINCT term)), ',') AS words FROM hits GROUP BY doc_id) GROUP BY words")
 def a6_hit_words(spark, sf_dir):
     found = S.scan_terms(S.segments(_docs(spark, sf_dir)), TERMS)

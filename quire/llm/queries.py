@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, langid, linededup, mixing, mtree, omh, paragraphs, simhash, tokenbin, warc
+from quire.llm import bpe, hmm, langid, linededup, merkle, mixing, mtree, omh, paragraphs, simhash, tokenbin, warc, whitening
 from quire.llm.util import documents
 
 
@@ -22,8 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": lambda spark, sf: omh.op8_near_duplicates(documents(spark, sf)),
         "op9_mix_sources": lambda spark, sf: mixing.op9_mix_sources(documents(spark, sf)),
         "op10_line_dedup": lambda spark, sf: linededup.op10_line_dedup(documents(spark, sf)),
+        "op11_merkle_manifest": lambda spark, sf: merkle.op11_merkle_manifest(documents(spark, sf)),
+        "op12_embedding_whitening": lambda spark, sf: whitening.op12_embedding_whitening(spark.read.parquet(f"{sf}/embeddings.parquet")),
+        "op13_language_model_scores": lambda spark, sf: hmm.op13_language_model_scores(documents(spark, sf)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mtree_top_k": mtree.ORACLE, "op9_mix_sources": mixing.ORACLE, "op10_line_dedup": linededup.ORACLE}
+    return {"op2_mtree_top_k": mtree.ORACLE, "op9_mix_sources": mixing.ORACLE, "op10_line_dedup": linededup.ORACLE, "op11_merkle_manifest": merkle.ORACLE}

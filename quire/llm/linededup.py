@@ -5,6 +5,8 @@ hash with map-side combining, so one line in a third of all documents costs one
 task. What comes back to a document is only the list of positions to drop, and the text is
 reassembled by position from its own lines.
 
+A text of very many lines is split once and put together in one pass.
+
 Defined results: a null or empty text is one empty line; a null doc_id does not count as a
 document and is never the one that keeps a line; rows that repeat a doc_id count once; an
 empty table gives an empty table; other columns pass through.
@@ -17,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.util import hash128
+from quire.llm.util import hash128, let
 
 #: The characters of [\x20\x09-\x0D].
 BLANK = " \t\n\x0b\x0c\r"
@@ -58,8 +60,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     joined = keyed.join(drops, ["__k1", "__k2"], "left").drop("__k1", "__k2")
     whole = F.coalesce(F.col("text"), F.lit(""))
     parts = F.split(whole, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
+    kept = F.array_join(let(parts, lambda lines: F.transform(stay(lines), lambda i: F.get(lines, i))), "\n")
     return joined.withColumns({
         "__n_lines": (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"))) + 1).cast("long"),
         "__n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),

@@ -29,7 +29,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.util import stage
+from quire.llm.util import let, stage
 
 FANOUT, STRIDE = 8, 3
 SPAN = FANOUT**STRIDE
@@ -55,11 +55,6 @@ def leaf(fields: Sequence[Column]) -> Column:
     return digest(*map(framed, fields))
 
 
-def let(value: Column, body) -> Column:
-    """body(v) with v bound to the value, so that it is computed once however often it stands in lambdas."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def levels(n: Column) -> Column:
     """How often n nodes must be taken together until one is left."""
     above = F.lit(0)

@@ -39,6 +39,11 @@ def hash128(*cols: Column | str) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols]) for seed in (17, 8191)]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(v) with v bound to the value, so that it is computed once however often it stands in lambdas."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 _held: dict = {}
 
 

@@ -1,7 +1,9 @@
-"""Literal text search on columns: counting, spans, replacing across line breaks."""
+"""Literal text search on columns: counting, spans, previews, kinds of characters."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,20 +37,30 @@ def count_hits(text: Column, term: Column, ignore_case: bool = False) -> Column:
     return F.when(size > 0, (F.char_length(hay) - F.char_length(F.replace(hay, needle, F.lit("")))) / size).otherwise(0).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(v) with v bound to the value, so that it is computed once however often v stands in lambdas."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array of int up to each element, by doubling: as many passes over it as its length has binary digits."""
+    for k in range(31):
+        values = let(values, partial(_reached, 1 << k))
+    return values
+
+
+def _reached(back: int, sums: Column) -> Column:
+    return F.when(F.size(sums) > back, F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0)))).otherwise(sums)
+
+
 def find_spans(text: Column, term: Column, ignore_case: bool = False) -> Column:
     """array<struct<a,b>> of the hits: code points from a up to b."""
     hay, needle = folded(text, term, ignore_case)
-    between = F.split(hay, literal(needle), -1)
     size = F.char_length(needle)
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        a = acc["at"] + F.char_length(part)
-        return F.struct((a + size).alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), (a + size).alias("b")))).alias("out"))
-
-    found = F.aggregate(F.slice(between, 1, F.size(between) - 1), start, step, lambda acc: acc["out"])
-    return F.when((size > 0) & hay.contains(needle), found).otherwise(none)
+    # A piece and the hit after it, laid end to end.
+    pieces = let(F.split(hay, literal(needle), -1), lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: F.char_length(x) + size))
+    found = F.transform(running_sums(pieces), lambda b: F.struct((b - size).alias("a"), b.alias("b")))
+    return F.when((size > 0) & hay.contains(needle), found).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
 
 
 def merge_spans(spans: Column | str) -> Column:
@@ -64,52 +76,6 @@ def merge_spans(spans: Column | str) -> Column:
     return F.aggregate(F.array_sort(_col(spans)), none, step)
 
 
-def replaced_text(text: Column, spans: Column, replacement: Column) -> Column:
-    """The text with every span replaced."""
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), replacement)
-        return F.struct(s["b"].alias("at"), kept.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-
-
-def let(value: Column, body) -> Column:
-    """body(v) with v bound to the value, so that it is computed once however often v stands in lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def line_ends(lines: Column) -> Column:
-    """Where the inner line ends lie in the flat text."""
-    return F.aggregate(
-        F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array().cast("array<int>"),
-        lambda acc, line: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.char_length(line))))
-
-
-def cut_at(text: Column, places: Column) -> Column:
-    """The text cut at ascending places: one line more than there are places."""
-
-    def cut(t: Column, bounds: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.substring(t, F.get(bounds, i) + 1, F.get(bounds, i + 1) - F.get(bounds, i)))
-
-    return let(text, lambda t: let(F.concat(F.array(F.lit(0)), places, F.array(F.char_length(t))), lambda bounds: cut(t, bounds)))
-
-
-def rewritten(lines: Column | str, spans: Column | str, replacement: Column) -> Column:
-    """The lines with every span replaced. A line end inside a span moves behind its replacement."""
-    size = F.char_length(replacement)
-
-    def moved(rows: Column, hits: Column) -> Column:
-        shift = lambda e: lambda acc, s: F.when(s["b"] <= e, acc + size - (s["b"] - s["a"])).when(s["a"] < e, acc - e + s["a"] + size).otherwise(acc)
-        return F.transform(line_ends(rows), lambda e: F.aggregate(hits, e, shift(e)))
-
-    def made(rows: Column, hits: Column) -> Column:
-        return cut_at(let(flat(rows), lambda t: replaced_text(t, hits, replacement)), moved(rows, hits))
-
-    return let(_col(spans), lambda hits: let(_col(lines), lambda rows: made(rows, hits)))
-
-
 def preview(text: Column, a: Column, b: Column, around: int = 18) -> Column:
     """The hit with some characters to either side and marks where text is cut off."""
     low, high = F.greatest(a - around, F.lit(0)), F.least(b + around, F.char_length(text))

@@ -1,8 +1,8 @@
 """Searching, replacing and deleting literal terms in segments of documents.
 
 A segment is a row with its keys and `lines` (array of string). Terms are an argument, as
-in any search; they travel as literals of the plan, so a scan is one map over the segments
-and nothing is joined. Caps are parameters and off unless asked for; totals are always of
+in any search; they travel with the plan, up to FEW as literals and more as one automaton, so
+a scan is one map over the segments and nothing is joined. Caps are parameters and off unless asked for; totals are always of
 all segments.
 """
 
@@ -13,10 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import count_hits, find_spans, flat, folded, merge_spans, preview, rewritten
+from quire.functions.text import count_hits, find_spans, flat, folded, preview
+from quire.operators.terms import edited, many_hits
 
 #: Terms longer than this are refused, as are more terms than a plan should hold.
 MAX_TERM, MAX_TERMS = 200, 5_000
+#: Up to so many terms are searched one after the other as column expressions.
+FEW = 32
 
 
 def clean_terms(terms: Sequence[str]) -> list[str]:
@@ -66,6 +69,8 @@ def find_text(segs: DataFrame, term: str, ignore_case: bool = False, cap: int |
 def term_hits(segs: DataFrame, terms: Sequence[str], ignore_case: bool = False) -> DataFrame:
     """One row per segment and term that it holds: the segment's keys, ord, term and count."""
     words = clean_terms(terms)
+    if len(words) > FEW:
+        return many_hits(segs, words, ignore_case)
     text = flat("lines")
     listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(w).alias("term")) for i, w in enumerate(words)])
     keys = [c for c in segs.columns if c != "lines"]
@@ -76,15 +81,12 @@ def term_hits(segs: DataFrame, terms: Sequence[str], ignore_case: bool = False)
 
 
 def any_of(text: Column, words: Sequence[str], ignore_case: bool) -> Column:
-    """Whether the text holds any of the words: a cheap test before terms are told apart."""
-    met = F.lit(False)
-    if len(words) <= 32:
-        for w in words:
-            hay, needle = folded(text, F.lit(w), ignore_case)
-            met = met | hay.contains(needle)
-        return met
-    pattern = "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in words)
-    return text.rlike(("(?iu)" if ignore_case else "") + pattern)
+    """Whether the text holds any of the words: a cheap test before terms are told apart. More than FEW are not tested."""
+    met = F.lit(len(words) > FEW)
+    for w in words[: 0 if len(words) > FEW else None]:
+        hay, needle = folded(text, F.lit(w), ignore_case)
+        met = met | hay.contains(needle)
+    return met
 
 
 def scan_terms(segs: DataFrame, terms: Sequence[str], ignore_case: bool = False) -> DataFrame:
@@ -119,11 +121,8 @@ def restrict_to_targets(hits: DataFrame, targets: DataFrame, keys: Sequence[str]
 
 def replace_all(segs: DataFrame, term: str, replacement: str, ignore_case: bool = False, cap: int | None = None) -> DataFrame:
     """Changed segments only: new_lines and occurrences. With a cap, the rest of a document is marked skipped."""
-    text, needle = flat("lines"), F.lit(term)
-    hay, low = folded(text, needle, ignore_case)
-    found = segs.where(hay.contains(low)).withColumn("__spans", find_spans(text, needle, ignore_case))
-    found = found.withColumn("occurrences", F.size("__spans").cast("long")).withColumn("new_lines", rewritten("lines", "__spans", F.lit(replacement)))
-    found = found.drop("__spans").where("new_lines <> lines")
+    found = edited(segs.where(any_of(flat("lines"), [term], ignore_case)), [term], replacement, ignore_case)
+    found = found.drop("removed").withColumnRenamed("hits", "occurrences").where("new_lines <> lines")
     if cap is None:
         return found.withColumn("skipped", F.lit(False))
     keys = [c for c in segs.columns if c not in ("lines", "doc_id")]
@@ -133,11 +132,7 @@ def replace_all(segs: DataFrame, term: str, replacement: str, ignore_case: bool
 def delete_terms(segs: DataFrame, terms: Sequence[str], ignore_case: bool = False) -> DataFrame:
     """Segments with hits: new_lines without them, raw hits, and removed (hits that overlap or touch are one)."""
     words = clean_terms(terms)
-    text = flat("lines")
-    spans = F.flatten(F.array(*[find_spans(text, F.lit(w), ignore_case) for w in words]))
-    held = segs.where(any_of(text, words, ignore_case)).withColumn("__raw", spans).where(F.size("__raw") > 0).withColumn("__spans", merge_spans("__raw"))
-    counted = held.withColumns({"hits": F.size("__raw").cast("long"), "removed": F.size("__spans").cast("long")})
-    return counted.withColumn("new_lines", rewritten("lines", "__spans", F.lit(""))).drop("__raw", "__spans")
+    return edited(segs.where(any_of(flat("lines"), words, ignore_case)), words, "", ignore_case)
 
 
 def residue(segs: DataFrame, terms: Sequence[str], ignore_case: bool = False) -> DataFrame:

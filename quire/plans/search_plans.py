@@ -12,6 +12,17 @@ from quire.streaming import sessions
 #: Terms that the queries look for; the last never occurs.
 TERMS = ["the", "and", "tion", "License", "zqzqzq"]
 TERMS_SQL = "terms(ord, term) AS (VALUES (0, 'the'), (1, 'and'), (2, 'tion'), (3, 'License'), (4, 'zqzqzq'))"
+#: Terms of a rule: a consonant, a vowel and a consonant. Of these, the ones with an a.
+CONSONANTS, VOWELS = "bcdfghjklmnpqrstvwxyz", "aeiou"
+MANY = [a + v + b for a in CONSONANTS for v in VOWELS for b in CONSONANTS]
+MANY_A = [t for t in MANY if t[1] == "a"]
+
+
+def _many_sql(vowels: str) -> str:
+    letters = f"SELECT unnest(string_split('{CONSONANTS}', '')) AS l"
+    return f"many(term) AS (SELECT a.l || v.l || b.l FROM ({letters}) a, (SELECT unnest(string_split('{vowels}', '')) AS l) v, ({letters}) b)"
+
+
 FLAT = "replace(coalesce(text, ''), chr(10), '')"
 #: Spans of the hits of 'tion' by cumulative lengths of what lies between them.
 SPANS = f"""
@@ -85,6 +96,16 @@ def t5_scan_terms(spark, sf_dir):
     return S.scan_terms(S.segments(_docs(spark, sf_dir)), TERMS).withColumn("words", F.array_join("words", ","))
 
 
+@query("t5_many_terms", f"""
+WITH {_many_sql(VOWELS)}, d AS (SELECT doc_id, {FLAT} AS flat FROM documents), h AS (SELECT doc_id, term, ((length(flat) - length(replace(flat, term, ''))) // 3)::BIGINT AS n FROM d, many WHERE contains(flat, term))
+SELECT doc_id, count(*) AS n_terms, sum(n)::BIGINT AS hits, md5(string_agg(term || n, ',' ORDER BY term)) AS found FROM h GROUP BY doc_id""")
+def t5_many_terms(spark, sf_dir):
+    hits = S.term_hits(S.segments(_docs(spark, sf_dir)), MANY).withColumn("n", F.col("count"))
+    listed = F.array_sort(F.collect_list(F.struct("term", "n")))
+    made = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("hits"), listed.alias("l"))
+    return made.select("doc_id", "n_terms", "hits", F.md5(F.array_join(F.transform("l", lambda x: F.concat(x["term"], x["n"].cast("string"))), ",")).alias("found"))
+
+
 @query("a5_term_counts", f"""
 WITH {TERMS_SQL}, {_HITS}
 SELECT t.ord, t.term, count(h.doc_id) AS segments, coalesce(sum(h.n), 0)::BIGINT AS total FROM terms t LEFT JOIN hits h ON t.ord = h.ord GROUP BY t.ord, t.term""")
@@ -149,6 +170,20 @@ def t7_delete_terms(spark, sf_dir):
     return done.select("doc_id", "hits", F.md5(T.flat("new_lines")).alias("new_flat"))
 
 
+@query("t7_many_terms", f"""
+WITH {_many_sql("a")}, d AS (SELECT doc_id, {FLAT} AS flat FROM documents), p AS (SELECT doc_id, term, string_split(flat, term) AS p FROM d, many WHERE contains(flat, term)),
+q AS (SELECT doc_id, term, unnest(p[:-2]) AS piece, generate_subscripts(p[:-2], 1) AS i FROM p),
+s AS (SELECT doc_id, sum(length(piece) + 3) OVER (PARTITION BY doc_id, term ORDER BY i) - 3 AS a, sum(length(piece) + 3) OVER (PARTITION BY doc_id, term ORDER BY i) AS b FROM q),
+m AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m),
+u AS (SELECT doc_id, g, min(a) AS a, max(b) AS b, count(*) AS n FROM g GROUP BY doc_id, g),
+k AS (SELECT u.*, d.flat, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM u JOIN d USING (doc_id))
+SELECT doc_id, sum(n)::BIGINT AS hits, count(*) AS removed, md5(string_agg(substr(flat, last::BIGINT + 1, (a - last)::BIGINT), '' ORDER BY a) || substr(any_value(flat), max(b)::BIGINT + 1)) AS new_flat FROM k GROUP BY doc_id""")
+def t7_many_terms(spark, sf_dir):
+    done = S.delete_terms(S.segments(_docs(spark, sf_dir)), MANY_A)
+    return done.select("doc_id", "hits", "removed", F.md5(T.flat("new_lines")).alias("new_flat"))
+
+
 @query("t9_residue", f"""
 WITH x AS (SELECT doc_id, replace({FLAT}, 'tion', '') AS flat FROM documents WHERE contains({FLAT}, 'tion'))
 SELECT 0 AS ord, 'tion' AS term, count(*) AS segments FROM x WHERE contains(flat, 'tion') HAVING count(*) > 0""")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.search import term_hits
 from quire.sources.catalog import doc_key, base_name, save_latest
+from quire.streaming.logs import fold_log, history_step, versions_step
 
 KEEP_VERSIONS, KEEP_EDITS = 20, 60
 
@@ -29,41 +30,13 @@ def autosave(changes: DataFrame, quiet: str, watermark: str | None = None) -> Da
 
 def version_stack(log: DataFrame, keep: int = KEEP_VERSIONS) -> DataFrame:
     """current, versions (older ones, oldest first) and errors (undos of nothing) per stage of a log (stage, seq, op, state)."""
-    stack = F.array().cast("array<string>")
-    start = F.struct(F.lit(None).cast("string").alias("current"), stack.alias("versions"), F.lit(0).alias("errors"))
-
-    def step(acc: Column, e: Column) -> Column:
-        pushed = F.when(acc["current"].isNull(), acc["versions"]).otherwise(F.slice(F.concat(acc["versions"], F.array(acc["current"])), F.greatest(F.lit(1), F.size(acc["versions"]) + 2 - keep), F.lit(keep)))
-        none = F.size(acc["versions"]) == 0
-        undo = e["op"] == "undo"
-        return F.struct(
-            F.when(~undo, e["state"]).when(none, acc["current"]).otherwise(F.try_element_at(acc["versions"], F.lit(-1))).alias("current"),
-            F.when(~undo, pushed).when(none, acc["versions"]).otherwise(F.slice(acc["versions"], F.lit(1), F.greatest(F.size(acc["versions"]) - 1, F.lit(0)))).alias("versions"),
-            (acc["errors"] + (undo & none).cast("int")).alias("errors"))
-
-    ordered = log.where("op IN ('save', 'undo')").groupBy("stage").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "state"))).alias("log"))
-    return ordered.select("stage", F.aggregate("log", start, step).alias("x")).select("stage", "x.*")
+    found = fold_log(log.where("op IN ('save', 'undo')"), versions_step(keep))
+    return found.select("stage", "left.current", F.col("left.done").alias("versions"), F.col("errors").cast("int").alias("errors"))
 
 
 def edit_history(log: DataFrame, keep: int = KEEP_EDITS) -> DataFrame:
     """current, done and undone per stage of a log with save, undo and redo. An unchanged save is passed over; a save clears what was undone."""
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(None).cast("string").alias("current"), none.alias("done"), none.alias("undone"))
-    last = lambda a: F.try_element_at(a, F.lit(-1))
-    but_last = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-
-    def step(acc: Column, e: Column) -> Column:
-        save = (e["op"] == "save") & ~e["state"].eqNullSafe(acc["current"])
-        undo = (e["op"] == "undo") & (F.size(acc["done"]) > 0)
-        redo = (e["op"] == "redo") & (F.size(acc["undone"]) > 0)
-        kept = F.when(acc["current"].isNull(), acc["done"]).otherwise(F.slice(F.concat(acc["done"], F.array(acc["current"])), F.greatest(F.lit(1), F.size(acc["done"]) + 2 - keep), F.lit(keep)))
-        return F.struct(
-            F.when(save, e["state"]).when(undo, last(acc["done"])).when(redo, last(acc["undone"])).otherwise(acc["current"]).alias("current"),
-            F.when(save, kept).when(undo, but_last(acc["done"])).when(redo, F.concat(acc["done"], F.array(acc["current"]))).otherwise(acc["done"]).alias("done"),
-            F.when(save, none).when(undo, F.concat(acc["undone"], F.array(acc["current"]))).when(redo, but_last(acc["undone"])).otherwise(acc["undone"]).alias("undone"))
-
-    ordered = log.groupBy("stage").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "state"))).alias("log"))
-    return ordered.select("stage", F.aggregate("log", start, step).alias("x")).select("stage", "x.*")
+    return fold_log(log, history_step(keep)).select("stage", "left.current", "left.done", "left.undone")
 
 
 def stream_versions(log: DataFrame, keep: int = KEEP_VERSIONS) -> DataFrame:

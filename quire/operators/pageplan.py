@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.staging import staged
+
 from quire.functions.text import let
 
 DEFAULT_BOX = (0.0, 0.0, 595.0, 842.0)
@@ -165,24 +167,20 @@ def attach_objects(pages: DataFrame, objects: DataFrame) -> DataFrame:
     return objects.join(pages, ["doc_id", "page"])
 
 
-def flatten_tree(nodes: DataFrame, attributes: Sequence[str], levels: int = 32) -> DataFrame:
+def flatten_tree(nodes: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Leaves of (node, parent, ord, is_leaf, attributes) in depth-first order, with the nearest ancestor's attributes.
 
-    One join per level on the parents that are left, at most `levels`; nodes on a circle are
-    never reached from a root. path orders the leaves.
+    Pointers are doubled: every node takes over what the node at its pointer knows, and its
+    pointer, until all point past a root. That takes as many steps as the depth has binary
+    digits, each written and read back. A step after which as many nodes as before are left
+    leaves those on or below a circle, which are never reached from a root; nodes below a
+    missing one drop out. path orders the leaves.
     """
-    base = nodes.select("node", "parent", "ord", "is_leaf", *attributes)
-    front = base.where("parent IS NULL").withColumn("path", F.array("ord")).withColumn("depth", F.lit(0))
-    leaves = []
-    for _ in range(levels):
-        leaves.append(front.where("is_leaf").select("node", "path", "depth", *attributes))
-        inner = front.where("NOT is_leaf").select(F.col("node").alias("__up"), F.col("path").alias("__path"), F.col("depth").alias("__depth"), *[F.col(a).alias(f"__{a}") for a in attributes])
-        front = base.join(inner, F.col("parent") == F.col("__up")).select(
-            "node", "parent", "ord", "is_leaf", *[F.coalesce(a, f"__{a}").alias(a) for a in attributes],
-            F.concat("__path", F.array("ord")).alias("path"), (F.col("__depth") + 1).alias("depth"))
-        if front.isEmpty():
-            break
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out
+    up = staged(nodes.select("node", F.col("parent").alias("up"), F.array("ord").alias("path"), F.col("parent").isNotNull().cast("int").alias("depth"), "is_leaf", *attributes), "tree")
+    left = None
+    while left != (left := up.where("up IS NOT NULL").count()) and left:
+        above = up.select(F.col("node").alias("__node"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("depth").alias("__depth"), *[F.col(a).alias(f"__{a}") for a in attributes])
+        joined = up.where("up IS NOT NULL").join(above, F.col("up") == F.col("__node"))
+        moved = joined.select("node", F.col("__up").alias("up"), F.concat("__path", "path").alias("path"), (F.col("depth") + F.col("__depth")).alias("depth"), "is_leaf", *[F.coalesce(a, f"__{a}").alias(a) for a in attributes])
+        up = staged(up.where("up IS NULL").unionByName(moved), "tree")
+    return up.where("up IS NULL AND is_leaf").select("node", "path", "depth", *attributes)

@@ -1,20 +1,27 @@
-"""Layout and reflow: wrapping, justifying, paging, shifting rows and rectangles.
+"""Layout and reflow: wrapping, justifying, paging, moving rows and rectangles.
 
 Greedy wrapping looks at one line after the other, so it is an Arrow helper over changed
-texts only; page overflow of a document is a fold over its row heights. All else is
+texts: widths are summed once over a whole batch and each line end is found by a binary
+search in the sums. What pushes rows from page to page is folded in chunks. All else is
 arithmetic on rows, with the edits of a page applied together: each row moves by the sum of
 what the edits above it add.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.chunks import CHUNK_ROWS, Fold, agreed, outputs
 from quire.operators.glyphs import HELVETICA, OTHER_WIDTH, WIDE_WIDTH
+from quire.sources.staging import staged
 
 #: Characters that must not start a line, and that must not end one (fixed values).
 NO_LINE_START = "，。、；：？！…—～·．,.;:?!）】》」』〉”’)]}％‰℃°"
@@ -23,95 +30,126 @@ NO_LINE_END = "（【《「『〈“‘([{￥$£#@"
 WIDE_RANGES = ((0x1100, 0x115F), (0x2E80, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE6F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6), (0x1F300, 0x1FAFF))
 LINE_HEIGHT = 1.25
 PAGE = ["doc_id", "page"]
-
-
-def wide(char: str) -> bool:
-    return any(a <= ord(char) <= b for a, b in WIDE_RANGES)
+#: Where a row lands: page, height and how far it was pushed on.
+PLACE = ("page", "y", "pushed")
+
+
+class Ruled:
+    """Texts of a batch end to end: their code points, the sums of the widths before each, and the last blank up to each."""
+
+    def __init__(self, texts: Sequence[str], widths: Mapping[str, int] | None = None):
+        self.text = "".join(texts)
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.wide = np.zeros(len(codes), bool)
+        for low, high in WIDE_RANGES:
+            self.wide |= (codes >= low) & (codes <= high)
+        each = np.where(self.wide, WIDE_WIDTH, OTHER_WIDTH)
+        plain = (codes >= 32) & (codes <= 126)
+        each[plain] = np.array(HELVETICA)[codes[plain] - 32]
+        for char, own in (widths or {}).items():
+            each[codes == ord(char)] = own
+        self.sums = np.concatenate([[0], np.cumsum(each)]).tolist()
+        self.blank = np.maximum.accumulate(np.where(codes == 32, np.arange(len(codes)), -1)).tolist()
+
+    def wrap(self, a: int, b: int, most: int) -> list[str]:
+        """Greedy lines of the characters from a up to b, of at most `most` thousandths (one character at least); a narrow word that does not fit moves down whole where there is a blank."""
+        sums, text, out, start, least = self.sums, self.text, [], a, a + 1
+        while (at := max(bisect_right(sums, sums[start] + most) - 1, least)) < b:
+            blank = self.blank[at - 1]
+            if blank > start and text[at] != " " and not self.wide[at]:
+                out.append(text[start:blank])
+                start = blank + 1
+            else:
+                out.append(text[start:at])
+                start = at
+            least = at + 1
+        return [*out, text[start:b]]
+
+    def wrap_kinsoku(self, a: int, b: int, scale: float, first: float, rest: float, slack: float = 0.5) -> list[tuple[str, bool]]:
+        """Greedy lines that do not start with closing marks nor end with opening ones, each with whether it was broken.
+
+        The break goes back to the last blank if at least half of the line stays before it. Of
+        what would go down, up to six closing marks stay, unless the line ends with a blank; then
+        up to six opening marks go down. If nothing is left to go down, two more closing marks
+        may follow.
+        """
+        sums, text, out, start, least, room = self.sums, self.text, [], a, a + 1, first
+        while start < b and (at := max(bisect_right(sums, sums[start] + thousandths(room + slack, scale)) - 1, least)) < b:
+            blank = self.blank[at - 1]
+            end = blank + 1 if blank > start and (sums[blank + 1] - sums[start]) * scale >= room * 0.5 else at
+            most = min(end + 6, at + 1)
+            while end < most and text[end - 1] != " " and text[end] in NO_LINE_START:
+                end += 1
+            low = max(end - 6, start + 1)
+            while end > low and text[end - 1] in NO_LINE_END:
+                end -= 1
+            if end == at + 1:
+                while end < min(at + 3, b) and text[end] in NO_LINE_START:
+                    end += 1
+            out.append((text[start:end], True))
+            start, least, room = end, max(at + 1, end, end + 1 if end > at else 0), rest
+        return [*out, (text[start:b], False)] if start < b or not out else out
 
 
 def width(char: str) -> int:
     """Thousandths of the size."""
-    code = ord(char)
-    return HELVETICA[code - 32] if 32 <= code <= 126 else WIDE_WIDTH if wide(char) else OTHER_WIDTH
+    return Ruled([char]).sums[1]
 
 
 def wrap_line(line: str, size: float, most: float) -> list[str]:
-    """Greedy lines of at most `most`; a narrow word that does not fit moves down whole where there is a blank."""
-    scale, out, start, at, used, blank = size / 1000.0, [], 0, 0, 0, -1
-    while at < len(line):
-        char = line[at]
-        if at > start and (used + width(char)) * scale > most:
-            if blank > start and char != " " and not wide(char):
-                out.append(line[start:blank])
-                start = blank + 1
-                used = sum(map(width, line[start:at]))
-            else:
-                out.append(line[start:at])
-                start, used = at, 0
-            blank = -1
-        if char == " ":
-            blank = at
-        used += width(char)
-        at += 1
-    return [*out, line[start:]]
+    """The lines of one line."""
+    return Ruled([line]).wrap(0, len(line), thousandths(most, size / 1000.0))
 
 
-def wrap_text(text: Column, size: Column, most: Column) -> Column:
-    """The lines of a text at a size, each at most so wide."""
+def wrap_kinsoku_line(line: str, size: float, first: float, rest: float) -> list[tuple[str, bool]]:
+    """The same with marks kept together."""
+    return Ruled([line]).wrap_kinsoku(0, len(line), size / 1000.0, first, rest)
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series, sizes: pd.Series, widths: pd.Series) -> pd.Series:
-        split = (str(t or "").replace("\r\n", "\n").replace("\r", "\n").split("\n") for t in texts)
-        return pd.Series([[part for line in lines for part in wrap_line(line, s, w)] for lines, s, w in zip(split, sizes, widths)], dtype=object)
 
-    return run(text, size.cast("double"), most.cast("double"))
+def thousandths(most: float, scale: float) -> int:
+    """The largest whole number that is at most `most` times the scale."""
+    found = int(most / scale)
+    while (found + 1) * scale <= most:
+        found += 1
+    while found > 0 and found * scale > most:
+        found -= 1
+    return found
 
 
-def wrap_kinsoku_line(line: str, size: float, first: float, rest: float, slack: float = 0.5) -> list[tuple[str, bool]]:
-    """Greedy lines that do not start with closing marks nor end with opening ones, each with whether it was broken.
+def _parts(texts: pd.Series, carriage: bool) -> tuple[list[list[tuple[int, int]]], list[str]]:
+    """Where the given lines of each text lie when all are put end to end, and these lines."""
+    places, lines, at = [], [], 0
+    for t in texts:
+        whole = str(t or "")
+        own = (whole.replace("\r\n", "\n").replace("\r", "\n") if carriage else whole).split("\n")
+        ends = list(accumulate(map(len, own), initial=at))
+        places.append(list(zip(ends, ends[1:])))
+        lines += own
+        at = ends[-1]
+    return places, lines
 
-    The break goes back to the last blank if at least half of the line stays before it. Of
-    what would go down, up to six closing marks stay, unless the line ends with a blank; then
-    up to six opening marks go down. If nothing is left to go down, two more closing marks
-    may follow.
-    """
-    sizes, n = [width(c) * size / 1000.0 for c in line], len(line)
-    out, start, at, used, blank, room = [], 0, 0, 0.0, -1, first
-    while at < n:
-        if at == start or used + sizes[at] <= room + slack:
-            if line[at] == " ":
-                blank = at
-            used += sizes[at]
-            at += 1
-            continue
-        end = blank + 1 if blank > start and sum(sizes[start : blank + 1]) >= room * 0.5 else at
-        most = min(end + 6, at + 1)
-        while end < most and line[end - 1] != " " and line[end] in NO_LINE_START:
-            end += 1
-        least = max(end - 6, start + 1)
-        while end > least and line[end - 1] in NO_LINE_END:
-            end -= 1
-        at += 1
-        if end == at:
-            while end < min(at + 2, n) and line[end] in NO_LINE_START:
-                end += 1
-        out.append((line[start:end], True))
-        start, at, blank, room = end, max(at, end), -1, rest
-        used = sum(sizes[start:at])
-    return [*out, (line[start:], False)] if start < n or not out else out
+
+def wrap_text(text: Column, size: Column, most: Column, widths: Mapping[str, int] | None = None) -> Column:
+    """The lines of a text at a size, each at most so wide. widths: thousandths of the size of characters that are not as usual."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series, sizes: pd.Series, rooms: pd.Series) -> pd.Series:
+        places, lines = _parts(texts, True)
+        ruled = Ruled(lines, widths)
+        return pd.Series([[part for a, b in own for part in ruled.wrap(a, b, thousandths(room, s / 1000.0))] for own, s, room in zip(places, sizes, rooms)], dtype=object)
+
+    return run(text, size.cast("double"), most.cast("double"))
 
 
-def wrap_kinsoku(text: Column, size: Column, first: Column, rest: Column) -> Column:
+def wrap_kinsoku(text: Column, size: Column, first: Column, rest: Column, widths: Mapping[str, int] | None = None) -> Column:
     """array<struct<line, cut>>: cut says that the line was broken, not ended."""
 
     @F.pandas_udf("array<struct<line:string,cut:boolean>>")
     def run(texts: pd.Series, sizes: pd.Series, firsts: pd.Series, rests: pd.Series) -> pd.Series:
-        made = []
-        for t, s, f, r in zip(texts, sizes, firsts, rests):
-            rows = []
-            for i, line in enumerate(str(t or "").split("\n")):
-                rows += [{"line": p, "cut": cut} for p, cut in wrap_kinsoku_line(line, s, f if i == 0 else r, r)]
-            made.append(rows)
+        places, lines = _parts(texts, False)
+        ruled, made = Ruled(lines, widths), []
+        for own, s, f, r in zip(places, sizes, firsts, rests):
+            made.append([{"line": p, "cut": cut} for i, (a, b) in enumerate(own) for p, cut in ruled.wrap_kinsoku(a, b, s / 1000.0, f if i == 0 else r, r)])
         return pd.Series(made, dtype=object)
 
     return run(text, *(c.cast("double") for c in (size, first, rest)))
@@ -170,29 +208,38 @@ def apply_paragraph_edits(rows: DataFrame, edits: DataFrame, bottom: float = 24.
     return moved.withColumn("fits", F.coalesce(low >= bottom, F.lit(True)))
 
 
-def flow_pages(rows: DataFrame, top: float, bottom: float, most_new: int = 20) -> DataFrame:
-    """Rows (doc_id, page, n, height) of documents that overflow, set anew from page to page.
+def flow_pages(rows: DataFrame, top: float, bottom: float, most_new: int = 20, most_pushed: int = 20, rows_each: int = CHUNK_ROWS) -> DataFrame:
+    """Rows (doc_id, page, n, height) set from the top of their page; what does not fit goes to the front of the next.
 
-    Only row heights are moved about, a document at a time. A document that would need more
-    than most_new pages keeps its rows and is marked.
+    Rows of a page follow what is pushed onto it, and a page that nothing is pushed onto starts
+    at its top, so pages are folded in chunks that hardly ever hang on each other. Documents
+    that would need more than most_new pages, or push rows on for more than most_pushed pages
+    in a row, keep their rows and are marked (fits).
     """
 
-    def flow(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values(["page", "n"])
-        first, last = int(doc["page"].iloc[0]), int(doc["page"].iloc[-1])
-        page, y, pages, places = first, top, [], []
-        for own, height in zip(doc["page"], doc["height"]):
-            if own > page:
-                page, y = int(own), top
-            elif y - height < bottom and y < top:
-                page, y = page + 1, top
-            pages.append(page)
-            places.append(y)
-            y -= height
-        fits = page - last <= most_new
-        return doc.assign(new_page=pages if fits else doc["page"], new_y=places if fits else float("nan"), fits=fits)
-
-    return rows.select("doc_id", "page", "n", "height").groupBy("doc_id").applyInPandas(flow, "doc_id long, page int, n int, height double, new_page int, new_y double, fits boolean")
+    def place(state: tuple, own: int, height: float) -> tuple[tuple, tuple]:
+        page, y, origin = state
+        if page is None or own > page:
+            page, y, origin = own, top, own
+        elif y - height < bottom and y < top:
+            page, y = page + 1, top
+        return (page, y - height, origin), (page, y, page - origin)
+
+    def only_state(state: tuple, own: int, height: float) -> tuple[tuple, int]:
+        return place(state, own, height)[0], 0
+
+    def with_place(state: tuple, own: int, height: float) -> tuple[tuple, dict]:
+        left, found = place(state, own, height)
+        return left, dict(zip(PLACE, found))
+
+    names, kinds = ("page", "y", "origin"), (pa.int32(), pa.float64(), pa.int32())
+    fold = Fold("struct<page:int,y:double,origin:int>", pa.struct(list(zip(names, kinds))), (None, 0.0, None), only_state, lambda d: tuple(d[c] for c in names), lambda s: dict(zip(names, s)))
+    done = agreed(rows.select("doc_id", "page", "n", "height"), "doc_id", ["page", "n"], ["page", "height"], fold, rows_each)
+    placed = outputs(done, "struct<page:int,y:double,pushed:int>", pa.struct(list(zip(PLACE, kinds))), with_place)
+    set_ = staged(placed.select("doc_id", F.col("page").alias("own"), "n", "out.page", "out.y", "out.pushed"), "flow")
+    over = set_.groupBy("doc_id").agg((F.max("page") - F.max("own")).alias("more"), F.max("pushed").alias("far")).where((F.col("more") > most_new) | (F.col("far") > most_pushed))
+    marked = set_.join(over.select("doc_id", F.lit(False).alias("fits")), "doc_id", "left").withColumn("fits", F.coalesce("fits", F.lit(True)))
+    return marked.select("doc_id", F.col("own").alias("page"), "n", F.when(F.col("fits"), F.col("page")).otherwise(F.col("own")).alias("new_page"), F.when(F.col("fits"), F.col("y")).alias("new_y"), "fits")
 
 
 def shift_vectors(rects: DataFrame, line: str, delta: str) -> DataFrame:

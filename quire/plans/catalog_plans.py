@@ -69,12 +69,20 @@ def s9_outcome(spark, sf_dir):
 
 
 @query("s7_unique_names", """
-WITH n AS (SELECT event_id, replace(event_type || ':' || user_id % 7, ':', '') AS stem FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY event_id) AS k FROM n)
-SELECT event_id, CASE WHEN k = 1 THEN stem ELSE stem || '-' || k END AS out_name FROM r""")
+WITH n AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || '-' || user_id % 9 WHEN 1 THEN event_type || '-2' ELSE event_type END AS stem FROM events),
+t AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN event_type || '-' || (user_id % 31 + 5) ELSE 'error' END AS stem FROM events WHERE user_id % 5 = 0),
+k AS (SELECT n.*, row_number() OVER (PARTITION BY stem ORDER BY event_id) - 1 + CASE WHEN stem IN (SELECT stem FROM t) THEN 1 ELSE 0 END AS k FROM n),
+r AS (SELECT DISTINCT regexp_extract(stem, '^(.*)-([1-9][0-9]*)$', 1) AS stem, regexp_extract(stem, '^(.*)-([1-9][0-9]*)$', 2)::BIGINT AS no FROM (SELECT stem FROM n UNION SELECT stem FROM t) WHERE regexp_matches(stem, '^(.*)-([1-9][0-9]*)$')),
+f AS (SELECT stem, no - 1 - row_number() OVER (PARTITION BY stem ORDER BY no) AS free FROM r WHERE no >= 2),
+j AS (SELECT k.event_id, count(f.stem) AS skip FROM k LEFT JOIN f ON f.stem = k.stem AND f.free < k.k GROUP BY k.event_id)
+SELECT event_id, CASE WHEN k = 0 THEN stem ELSE stem || '-' || (k + 1 + skip) END AS out_name FROM k JOIN j USING (event_id)""")
 def s7_unique_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(":"), (F.col("user_id") % 7).cast("string")).alias("name"))
-    return C.unique_names(rows, "name", "event_id").select("event_id", "out_name")
+    e = table(spark, sf_dir, "events")
+    number = lambda n: F.concat("event_type", F.lit("-"), n.cast("string"))
+    four = F.col("event_id") % 4
+    rows = e.select("event_id", F.when(four == 0, number(F.col("user_id") % 9)).when(four == 1, number(F.lit(2))).otherwise(F.concat("event_type", F.lit(":"))).alias("name"))
+    taken = e.where("user_id % 5 = 0").select(F.when(F.col("user_id") % 2 == 0, number(F.col("user_id") % 31 + 5)).otherwise("error").alias("name"))
+    return C.unique_names(rows, "name", "event_id", taken).select("event_id", "out_name")
 
 
 @query("p1_catalog_search", f"WITH {CAT_SQL} SELECT page_id, path FROM c WHERE contains(lower(name), 'blog') OR contains(lower(path), 'blog') ORDER BY path LIMIT 300")
@@ -93,5 +101,4 @@ def p2_human_size(spark, sf_dir):
 @query("r4_expire", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR")
 def r4_expire(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    return C.expire(e, F.lit(now), 6, "ts").select("event_id")
+    return C.expire(e, e.agg(F.max("ts")).scalar(), 6, "ts").select("event_id")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ranks import running
+
 #: Folders that a scan passes over (fixed values).
 SKIPPED = ("node_modules", "__pycache__", "venv", ".git", "static", "annotations")
 MAX_UPLOAD = 128 << 20
 UNITS = ("B", "KB", "MB", "GB")
+#: A name that ends in a number as given out for a name in use.
+NUMBERED = r"^(.*)-([1-9][0-9]{0,17})$"
 
 
 def _col(x: Column | str) -> Column:
@@ -85,19 +89,23 @@ def clean_name(name: Column | str, most: int = 60, default: str = "document") ->
 
 
 def unique_names(rows: DataFrame, name: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """rows with out_name: the cleaned name, then -2, -3 and so on among equal names, after those already taken (column name).
+    """rows with out_name: the cleaned name for the first row that has it, unless it is taken (column name); then name-2, name-3 and so on, as far as no row has that name and it is not taken.
 
-    Numbering starts after the number of taken names of the same stem.
+    Names are found by counting: the k-th further row of a name gets the k-th free number,
+    which is k + 1 and one more for each number in use that has fewer than k free ones below.
     """
-    stem = rows.withColumn("__stem", clean_name(name))
-    at = F.row_number().over(Window.partitionBy("__stem").orderBy(order))
-    if taken is not None:
-        used = taken.select(F.regexp_replace(clean_name(name), r"-\d+$", "").alias("__stem")).groupBy("__stem").agg(F.count(F.lit(1)).alias("__used"))
-        stem = stem.join(used, "__stem", "left")
-        at = at + F.coalesce("__used", F.lit(0))
-    numbered = stem.withColumn("__at", at)
-    out = F.when(F.col("__at") == 1, F.col("__stem")).otherwise(F.concat("__stem", F.lit("-"), F.col("__at").cast("string")))
-    return numbered.withColumn("out_name", out).drop("__stem", "__at", "__used")
+    named = rows.withColumn("__stem", clean_name(name))
+    used = rows.sparkSession.createDataFrame([], "__used string") if taken is None else taken.select(clean_name(name).alias("__used")).distinct()
+    numbered = running(named, ["__stem"], [order], {"__k": F.lit(1)}).join(used, F.col("__stem") == F.col("__used"), "left")
+    numbered = numbered.withColumn("__k", F.col("__k") + F.col("__used").isNotNull().cast("int")).drop("__used")
+    names = named.select("__stem").unionByName(used.withColumnRenamed("__used", "__stem")).distinct()
+    numbers = names.select(F.regexp_extract("__stem", NUMBERED, 1).alias("__stem"), F.regexp_extract("__stem", NUMBERED, 2).alias("__n")).where("__n <> ''")
+    barred = running(numbers.select("__stem", F.col("__n").cast("long").alias("__n")).where("__n >= 2"), ["__stem"], ["__n"], {"__i": F.lit(1)})
+    barred = barred.select("__stem", (F.col("__n") - 2 - F.col("__i")).alias("__k"), F.lit(1).alias("__bar"))
+    first, more = numbered.where("__k = 0"), numbered.where("__k > 0").withColumn("__bar", F.lit(0))
+    both = running(more.unionByName(barred, allowMissingColumns=True), ["__stem"], ["__k", "__bar"], {"__skip": F.col("__bar")}).where("__bar = 0")
+    further = both.withColumn("out_name", F.concat("__stem", F.lit("-"), (F.col("__k") + 1 + F.col("__skip")).cast("string")))
+    return first.withColumn("out_name", F.col("__stem")).select(*rows.columns, "out_name").unionByName(further.select(*rows.columns, "out_name"))
 
 
 def save_latest(rows: DataFrame, key: str = "doc_id", updated: str = "updated") -> DataFrame:

@@ -1,33 +1,21 @@
-"""Edit logs folded to what they leave: versions and histories, in chunks beside each other.
-
-What a log leaves is short (a current state, at most so many older ones, what was undone),
-but each event acts on what those before it left. A log is cut into chunks of bounded size by
-its order, however long it is, and every chunk is folded from nothing. A chunk summarises
-itself as what it leaves and its errors; what it should have started from is what the chunk
-before it leaves. Chunks that started from something else are folded again, until all agree,
-which is then the fold from the first event. As older states fall off the end, what a chunk
-leaves rarely hangs on what it started from, so two rounds are usual; a log of undos alone
-takes as many as it has chunks. Most stages lie within one chunk and are folded once.
-
-No log is ever held as an array, and a stage with a third of all events is spread over as
-many tasks as its chunks.
+"""What edit logs leave: versions and histories.
+
+A log leaves little: a current state, at most so many older ones, and what was undone. Each
+event acts on what those before it left, so logs are folded in chunks (operators/chunks.py).
+As older states fall off the end, what a chunk leaves rarely hangs on what it started from.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.sources.staging import staged
+from quire.operators.chunks import CHUNK_ROWS, Fold, agreed
 
-#: Events of a chunk, about.
-CHUNK_ROWS = 500_000
-#: Rows handed on at once.
-BATCH_ROWS = 10_000
 LEFT = "struct<current:string,done:array<string>,undone:array<string>>"
 
 
@@ -74,64 +62,8 @@ def history_step(keep: int) -> Step:
 
 def fold_log(log: DataFrame, step: Step, rows_each: int = CHUNK_ROWS) -> DataFrame:
     """stage, left and errors of each stage of a log (stage, seq, op, state); seq is unique within a stage."""
-    spark, schema = log.sparkSession, log.schema["stage"].dataType.simpleString()
-    slim = staged(log.select("stage", "seq", "op", "state"), "log")
-    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slim.count() // rows_each + 1)
-    laid = staged(slim.repartitionByRange(chunks, "stage", "seq").withColumn("part", F.spark_partition_id()), "log-chunks")
-    kinds = f"stage {schema}, part int, began {LEFT}, left {LEFT}, errors long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [None, pa.int32(), arrow_left(), arrow_left(), pa.int64()]
-        made: list[list] = [[] for _ in types]
-
-        def handed() -> pa.RecordBatch:
-            arrays = [pa.array(v, t or stage_type) for v, t in zip(made, types)]
-            for v in made:
-                v.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["stage", "part", "began", "left", "errors"])
-
-        now, began, left, errors, stage_type = None, Left(), Left(), 0, pa.null()
-        for batch in batches:
-            stage_type = batch.schema.field("stage").type
-            for stage, part, op, state, start in zip(*(c.to_pylist() for c in batch.columns)):
-                if (stage, part) != now:
-                    if now is not None:
-                        for v, x in zip(made, (*now, began._asdict(), left._asdict(), errors)):
-                            v.append(x)
-                    now, errors = (stage, part), 0
-                    began = left = Left(start["current"], tuple(start["done"]), tuple(start["undone"])) if start else Left()
-                if not start:
-                    left, wrong = step(left, op, state)
-                    errors += wrong
-            if len(made[0]) >= BATCH_ROWS:
-                yield handed()
-        if now is not None:
-            for v, x in zip(made, (*now, began._asdict(), left._asdict(), errors)):
-                v.append(x)
-            yield handed()
-
-    def folded(events: DataFrame, starts: DataFrame | None) -> DataFrame:
-        """The chunks folded from the given starts (stage, part, start), else from nothing. A start is the first row of its chunk."""
-        rows = events.select("stage", "part", "seq", "op", "state", F.lit(None).cast(LEFT).alias("start"))
-        if starts is not None:
-            rows = rows.unionByName(starts.select("stage", "part", "start"), allowMissingColumns=True)
-        dealt = rows.repartition("part").sortWithinPartitions("part", "stage", F.col("start").isNull(), "seq")
-        return staged(dealt.select("stage", "part", "op", "state", "start").mapInArrow(run, kinds), "log-left")
-
-    found = folded(laid, None)
-    before = Window.partitionBy("stage").orderBy("part")
-    while True:
-        nothing = F.struct(F.lit(None).cast("string").alias("current"), *[F.array().cast("array<string>").alias(c) for c in ("done", "undone")])
-        due = found.withColumn("start", F.coalesce(F.lag("left").over(before), nothing))
-        wrong = staged(due.where(~F.col("start").eqNullSafe(F.col("began"))).select("stage", "part", "start"), "log-starts")
-        if wrong.isEmpty():
-            break
-        theirs = wrong.select(F.col("stage").alias("__stage"), F.col("part").alias("__part"))
-        met = F.col("stage").eqNullSafe(F.col("__stage")) & (F.col("part") == F.col("__part"))
-        again = folded(laid.join(theirs, met, "left_semi"), wrong)
-        found = staged(found.join(theirs, met, "left_anti").unionByName(again), "log-left")
-    return found.groupBy("stage").agg(F.max_by("left", "part").alias("left"), F.sum("errors").alias("errors"))
-
-
-def arrow_left() -> pa.DataType:
-    return pa.struct([("current", pa.string()), ("done", pa.list_(pa.string())), ("undone", pa.list_(pa.string()))])
+    lists = pa.list_(pa.string())
+    arrow = pa.struct([("current", pa.string()), ("done", lists), ("undone", lists)])
+    fold = Fold(LEFT, arrow, Left(), step, lambda d: Left(d["current"], tuple(d["done"]), tuple(d["undone"])), Left._asdict)
+    found = agreed(log, "stage", ["seq"], ["op", "state"], fold, rows_each).chunks
+    return found.groupBy("stage").agg(F.max_by("left", "part").alias("left"), F.sum("total").alias("errors"))

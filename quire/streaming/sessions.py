@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from quire.operators.search import term_hits
 from quire.sources.catalog import doc_key, base_name, save_latest
 from quire.streaming.logs import fold_log, history_step, versions_step
 
 KEEP_VERSIONS, KEEP_EDITS = 20, 60
+#: Of the table that upserts go to.
+BUCKETS = 256
 
 
 def autosave(changes: DataFrame, quiet: str, watermark: str | None = None) -> DataFrame:
@@ -64,7 +68,11 @@ def stream_versions(log: DataFrame, keep: int = KEEP_VERSIONS) -> DataFrame:
 def ingest_stream(spark: SparkSession, path: str, delay: str = "1 day") -> DataFrame:
     """New files below a path as a catalogue, equal contents once within the delay."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(path)
+    return catalogued(spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(path), delay)
+
+
+def catalogued(files: DataFrame, delay: str = "1 day") -> DataFrame:
+    """The same of any stream of files (path, modificationTime, length, content)."""
     named = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha1("content").alias("sha"), doc_key(base_name("path"), "length").alias("doc_id"))
     return named.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["sha"])
 
@@ -74,13 +82,46 @@ def scan_stream(segments: DataFrame, terms: list[str]) -> DataFrame:
     return term_hits(segments, terms)
 
 
-def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
-    """Keep the latest row per key under path: each batch writes the merged table to a folder of its own (path/batch=N)."""
+def merge_batch(batch: DataFrame, path: str, n: int, key: str = "doc_id", buckets: int = BUCKETS) -> None:
+    """Merge batch n into the table of the latest row per key below path.
+
+    Keys are dealt into buckets by their hash. Only buckets with news are read and written
+    anew, to data/batch=N; manifest/batch=N, written last, says which, so readers see all of a
+    batch or nothing, and a batch that is run again after a failure replaces its own files.
+    """
+    spark = batch.sparkSession
+    news = batch.withColumn("bucket", bucket_of(key, buckets)).persist()
+    touched = sorted(r["bucket"] for r in news.select("bucket").distinct().collect())  # as many as buckets at most
+    held = located(spark, path, n)
+    old = [f"{path}/data/batch={held[b]}/bucket={b}" for b in touched if b in held]
+    rows = news.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("bucket", bucket_of(key, buckets))) if old else news
+    save_latest(rows, key).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={n}")
+    spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={n}")
+    news.unpersist()
+
 
-    def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        if n:
-            batch = spark.read.parquet(f"{path}/batch={n - 1}").unionByName(batch)
-        save_latest(batch, key).write.mode("overwrite").parquet(f"{path}/batch={n}")
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def located(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The batch that holds each bucket, of all batches or those before the given one."""
+    try:
+        found = spark.read.schema("bucket int, batch int").parquet(f"{path}/manifest")
+    except AnalysisException as lacking:
+        if lacking.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    found = found if before is None else found.where(F.col("batch") < before)
+    return {r["bucket"]: r["batch"] for r in found.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
+
+
+def latest(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The table as the last finished batch left it."""
+    files = [f"{path}/data/batch={n}/bucket={b}" for b, n in sorted(located(spark, path).items())]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
+    """Keep the latest row per key of a stream below path, batch by batch; `latest` reads it."""
+    return stream.writeStream.foreachBatch(lambda batch, n: merge_batch(batch, path, n, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

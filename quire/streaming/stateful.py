@@ -1,7 +1,7 @@
 """Streams with state of their own per stage: edit histories, and stages that go stale.
 
 State lives in the state store (RocksDB), so it survives lost executors and restarts; the
-session needs spark.sql.streaming.stateStore.providerClass set to PROVIDER.
+session needs STORE set to PROVIDER, as `delivered` does while it runs a stream.
 """
 
 from __future__ import annotations
@@ -13,12 +13,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quire.sources.staging import new_folder
 from quire.streaming.logs import Left, history_step
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HISTORY = "stage string, current string, done array<string>, undone array<string>"
 
 
+def delivered(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what there is now; what it puts out, with the number of the batch, from the shared folder. A batch that is run again replaces its own files."""
+    spark = stream.sparkSession
+    folder, kept = new_folder(spark, "stream"), spark.conf.get(STORE, None)
+    spark.conf.set(STORE, PROVIDER)
+    try:
+        job = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+        job.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, kept) if kept else spark.conf.unset(STORE)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    return spark.read.schema(f"{kinds}, batch int").parquet(f"{folder}/out")
+
+
 class History(StatefulProcessor):
     """The edit history of a stage: its current state as a value, what was done and undone as lists, at most so many each."""
 
@@ -77,12 +93,12 @@ class Stale(StatefulProcessor):
                 self.handle.deleteTimer(before + self.most_ms)
             self.last.update((newest,))
             self.handle.registerTimer(newest + self.most_ms)
-        yield pd.DataFrame({"stage": pd.Series(dtype="str"), "last": pd.Series(dtype="datetime64[ns]")})
+        yield pd.DataFrame({"stage": pd.Series(dtype="str"), "ms": pd.Series(dtype="int64")})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0]
         self.last.clear()
-        yield pd.DataFrame({"stage": [key[0]], "last": [pd.Timestamp(last, unit="ms")]})
+        yield pd.DataFrame({"stage": [key[0]], "ms": [last]})
 
     def close(self) -> None:
         pass
@@ -90,5 +106,6 @@ class Stale(StatefulProcessor):
 
 def stream_stale(changes: DataFrame, hours: float, delay: str = "0 seconds") -> DataFrame:
     """stage and last of each stage of a stream (stage, ts) once the watermark has passed its last change by so many hours; it is forgotten then."""
-    timed = changes.select(F.col("stage").cast("string").alias("stage"), "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", delay)
-    return timed.groupBy("stage").transformWithStateInPandas(Stale(int(hours * 3_600_000)), outputStructType="stage string, last timestamp", outputMode="Append", timeMode="EventTime")
+    timed = changes.select(F.col("stage").cast("string").alias("stage"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).withWatermark("ts", delay)
+    gone = timed.groupBy("stage").transformWithStateInPandas(Stale(int(hours * 3_600_000)), outputStructType="stage string, ms long", outputMode="Append", timeMode="EventTime")
+    return gone.select("stage", F.timestamp_millis("ms").alias("last"))

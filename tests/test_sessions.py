@@ -66,4 +66,18 @@ def test_ingest_scan_and_upsert(spark, tmp_path):
     notes = spark.createDataFrame([("d", 1.0, "old"), ("d", 2.0, "new"), ("e", 1.0, "x")], "doc_id string, updated double, body string")
     notes.coalesce(1).write.parquet(str(tmp_path / "notes"))
     R.upsert_latest(spark.readStream.schema(notes.schema).parquet(str(tmp_path / "notes")), str(tmp_path / "out"), str(tmp_path / "c3")).awaitTermination()
-    assert sorted((r.doc_id, r.body) for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect()) == [("d", "new"), ("e", "x")]
+    assert sorted((r.doc_id, r.body) for r in R.latest(spark, str(tmp_path / "out"), notes.schema).collect()) == [("d", "new"), ("e", "x")]
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "doc_id long, updated double, body string"
+    R.merge_batch(spark.createDataFrame([(i, 1.0, "first") for i in range(500)], schema), path, 0, buckets=32)
+    news = spark.createDataFrame([(i, 2.0, "second") for i in (7, 8, 9, 1000)] + [(10, 0.5, "late")], schema)
+    for _ in range(2):  # run again, it replaces its own files
+        R.merge_batch(news, path, 1, buckets=32)
+        held = R.located(spark, path)
+        touched = {r[0] for r in news.select(R.bucket_of("doc_id", 32)).collect()}
+        assert {b for b, n in held.items() if n == 1} == touched and len(touched) <= 5 and len(held) == 32
+        assert {p.name for p in (tmp_path / "t" / "data" / "batch=1").glob("bucket=*")} == {f"bucket={b}" for b in touched}
+        rows = R.latest(spark, path, schema).collect()
+        assert len(rows) == 501 and {r.doc_id for r in rows if r.body == "second"} == {7, 8, 9, 1000} and not [r for r in rows if r.body == "late"]

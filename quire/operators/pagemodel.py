@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.staging import staged
+
 PAGE = ["doc_id", "page"]
 
 
@@ -30,6 +32,15 @@ def split_columns(glyphs: DataFrame, gap: float = 12.0) -> DataFrame:
     return glyphs.join(banded.select(*PAGE, "x0", "x1", "band"), [*PAGE, "x0", "x1"])
 
 
+def merge_thin_bands(rows: DataFrame) -> DataFrame:
+    """rows (band, row_y) with col: bands of a single row go with the column to their left, or at the left edge with the band to their right."""
+    across = Window.partitionBy(*PAGE).orderBy("band")
+    sized = rows.groupBy(*PAGE, "band").agg(F.count_distinct("row_y").alias("n")).withColumns({"at": F.row_number().over(across), "first": F.first("n").over(across)})
+    starts = (F.col("at") == 1) | ((F.col("n") >= 2) & ~((F.col("at") == 2) & (F.col("first") == 1)))
+    cols = sized.withColumn("starts", starts.cast("int")).select(*PAGE, "band", (F.sum("starts").over(across) - 1).alias("col"))
+    return rows.join(cols, [*PAGE, "band"])
+
+
 def build_rows(glyphs: DataFrame, reach: float = 2.0, keys: list[str] | None = None) -> DataFrame:
     """glyphs with row_y: the height of the first glyph of their row."""
     keys = keys or PAGE
@@ -86,12 +97,15 @@ def paragraphs(rows: DataFrame, keys: list[str] | None = None, indent: float = 3
 
 
 def paragraph_stats(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per paragraph: top, bottom, left, right, lines, cols, and table_like (two rows and half of them with columns)."""
+    """One row per paragraph: top, bottom, left, right, lines, cols, table_like (two rows and half of them with columns), and gap: between its rows on average, of a single row the page's usual one (from the column `gap` of rows; 0 without any)."""
     keys = [*(keys or PAGE), "para"]
     many = F.count_if(F.col("cols") >= 2)
-    return rows.groupBy(*keys).agg(
+    stats = rows.groupBy(*keys).agg(
         F.max("row_y").alias("top"), F.min("row_y").alias("bottom"), F.min("x0").alias("left"), F.max("x1").alias("right"), F.count(F.lit(1)).alias("lines"),
         F.max("cols").alias("cols"), ((many >= 2) & (many * 2 >= F.count(F.lit(1)))).alias("table_like"))
+    usual = rows.groupBy(*PAGE).agg(F.percentile("gap", 0.5).alias("usual"))
+    own = (F.col("top") - F.col("bottom")) / F.nullif(F.col("lines") - 1, F.lit(0))
+    return stats.join(usual, PAGE).withColumn("gap", F.coalesce(own, "usual", F.lit(0.0))).drop("usual")
 
 
 def dominant_font(glyphs: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,6 +140,30 @@ def row_rule_band(rows: DataFrame, rules: DataFrame, reach: float = 1.5) -> Data
     return rows.join(inside.groupBy(*PAGE, "row_y").agg(F.min("band").alias("rule_band")), [*PAGE, "row_y"], "left")
 
 
+def rule_bands(rows: DataFrame, rules: DataFrame, keys: list[str] | None = None, reach: float = 1.5, pad: Column | float = 30.0, outside: bool = False) -> DataFrame:
+    """rows with rule_band: the first pair of neighbouring rules, from the top, that the row lies between, of the rules within `pad` of the rows of the same keys.
+
+    Without two rules there, or outside of all, it is null. With `outside` it is the number of
+    the last rule for rows below it, -1 above the first, and without two rules the row's own
+    place from the top. The rules of a page, which are few, come to its rows as an array.
+    """
+    keys = keys or PAGE
+    ends = rows.groupBy(*keys).agg(F.min("row_y").alias("__low"), F.max("row_y").alias("__high"), F.max_by("size", "row_y").alias("__size"))
+    lists = rules.groupBy(*PAGE).agg(F.sort_array(F.collect_set("rule_y"), asc=False).alias("__all"))
+    wide = F.greatest(F.col("__size") * 2.5, F.lit(20.0)) if outside else F.lit(pad)
+    near = F.filter("__all", lambda y: (y >= F.col("__low") - wide) & (y <= F.col("__high") + wide))
+    held = ends.join(lists, PAGE, "left").withColumn("__near", F.coalesce(near, F.array().cast("array<double>"))).select(*keys, "__near")
+    here, last = F.col("row_y"), F.size("__near") - 1
+    inside = F.filter(F.sequence(F.lit(0), last - 1), lambda i: (here <= F.get("__near", i) + reach) & (here > F.get("__near", i + 1) - reach))
+    joined = rows.join(held, keys)
+    band = F.when(last >= 1, F.get(inside, F.lit(0)))
+    if outside:
+        beyond = F.when(here <= F.get("__near", last), last).otherwise(-1)
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(here.desc())) - 1
+        band = F.when(last >= 1, F.coalesce(band, beyond)).otherwise(place)
+    return joined.withColumn("rule_band", band.cast("int")).drop("__near")
+
+
 def footer_row(rows: DataFrame) -> DataFrame:
     """The lowest row of a page if it lies over three times the usual distance below the next."""
     up = Window.partitionBy(*PAGE).orderBy("row_y")
@@ -134,24 +172,35 @@ def footer_row(rows: DataFrame) -> DataFrame:
     return gaps.where("at = 1").join(usual, PAGE).where(F.col("gap") > 3 * F.col("body")).select(*PAGE, "row_y", "gap", "body")
 
 
-def table_cells(rows: DataFrame, glyphs: DataFrame, reach: float = 5.0) -> DataFrame:
-    """Cells of pages with rows of several columns: row_y, col, x0, x1 and text.
+def table_cells(rows: DataFrame, glyphs: DataFrame, rules: DataFrame, keys: list[str] | None = None, reach: float = 5.0) -> DataFrame:
+    """Cells of the paragraphs (keys) of at least two rows (row_y, size, x1): row (place of its first row), gid, col, x0, x1, y0, y1, right, size and text.
 
-    Column starts are first glyphs after a gap of max(2 * size, 6); those within reach of the
-    first seen are one, and starts seen once are none. Fewer than two columns give no cells.
+    Column starts are first glyphs and those after a gap of max(2 * size, 6); those within
+    reach of the first seen are one, and starts seen once are none. Fewer than two columns give
+    no cells. Rows between the same rules are one row of cells; right is the next column's
+    start, or the paragraph's right edge.
     """
-    line = Window.partitionBy(*PAGE, "row_y").orderBy("x0", "op_index", "char_index")
-    sized = glyphs.join(rows.select(*PAGE, "row_y", "size"), [*PAGE, "row_y"])
+    keys = keys or PAGE
+    down = Window.partitionBy(*keys).orderBy(F.col("row_y").desc())
+    whole = Window.partitionBy(*keys)
+    placed = rows.select(*keys, "row_y", "size", "x1").withColumns({"at": F.row_number().over(down) - 1, "edge": F.max("x1").over(whole), "many": F.count(F.lit(1)).over(whole)})
+    banded = staged(rule_bands(placed.where("many >= 2").drop("x1", "many"), rules, keys, outside=True).withColumnRenamed("rule_band", "gid"), "cell-rows")
+    line = Window.partitionBy(*keys, "row_y").orderBy("x0", "op_index", "char_index")
+    sized = staged(glyphs.join(banded, [*keys, "row_y"]), "cell-glyphs")
     gap = F.col("x0") - F.lag("x1").over(line)
     starts = sized.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") > F.greatest(F.col("size") * 2, F.lit(6.0))))
-    seen = starts.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("row_y")).alias("d"), F.col("x0").alias("x")))), lambda s: s["x"]).alias("xs"))
+    seen = starts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("x0").alias("x")))), lambda s: s["x"]).alias("xs"))
     fold = F.aggregate("xs", F.array().cast("array<struct<x:double,n:int>>"), lambda acc, v: F.when(
         F.exists(acc, lambda b: F.abs(b["x"] - v) <= reach),
         F.transform(acc, lambda b, i: F.when(i == F.array_position(F.transform(acc, lambda c: F.abs(c["x"] - v) <= reach), True) - 1, F.struct(b["x"].alias("x"), (b["n"] + 1).alias("n"))).otherwise(b))
     ).otherwise(F.concat(acc, F.array(F.struct(v.alias("x"), F.lit(1).alias("n"))))))
-    cols = seen.select(*PAGE, F.array_sort(F.transform(F.filter(fold, lambda b: b["n"] >= 2), lambda b: b["x"])).alias("cols")).where(F.size("cols") >= 2)
-    placed = sized.join(cols, PAGE).withColumn("col", F.greatest(F.size(F.filter("cols", lambda c: c <= F.col("x0") + reach)) - 1, F.lit(0)))
-    return placed.groupBy(*PAGE, "row_y", "col").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "op_index", "char_index", "text"))), lambda g: g["text"]), "").alias("text"))
+    cols = seen.select(*keys, F.array_sort(F.transform(F.filter(fold, lambda b: b["n"] >= 2), lambda b: b["x"])).alias("cols")).where(F.size("cols") >= 2)
+    of = sized.join(cols, keys).withColumn("col", F.greatest(F.size(F.filter("cols", lambda c: c <= F.col("x0") + reach)) - 1, F.lit(0)))
+    heights = banded.groupBy(*keys, "gid").agg(F.min("at").alias("row"), F.min("row_y").alias("y0"), F.max("row_y").alias("top"), F.max_by("size", "row_y").alias("size"))
+    made = of.groupBy(*keys, "gid", "col").agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.coalesce(F.get(F.first("cols"), F.col("col") + 1), F.first("edge")).alias("right"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.round("y0", 2)).alias("d"), "x0", "op_index", "char_index", "text"))), lambda g: g["text"]), "").alias("text"))
+    return made.join(heights, [*keys, "gid"]).select(*keys, "row", "gid", "col", "x0", "x1", "y0", (F.col("top") + F.col("size")).alias("y1"), "right", "size", "text")
 
 
 def merge_boxes(glyphs: DataFrame, keys: list[str], gap: float = 2.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import glyphs as G
 from quire.operators import pagemodel as M
 from quire.plans.registry import query, table
+from quire.sources.staging import staged
 
 WIDTHS_SQL = "[" + ", ".join(map(str, G.HELVETICA)) + "]"
 WIDTH_SQL = f"CASE WHEN unicode(ch) BETWEEN 32 AND 126 THEN {WIDTHS_SQL}[unicode(ch) - 31] ELSE 556 END"
@@ -289,10 +290,38 @@ def j9_row_rule_band(spark, sf_dir):
     return M.row_rule_band(rows, flat).select("doc_id", "row_y", "rule_band")
 
 
-@query("w6_table_cells")
+#: Rules above every second row of pages that 3 does not divide, and one further up.
+RULES_SQL = "rules AS (SELECT doc_id, page, row_y + 12 AS rule_y FROM rows_ WHERE page % 3 <> 0 AND op_index % 2 = 0 UNION ALL SELECT DISTINCT doc_id, page, 828.0::DOUBLE FROM rows_ WHERE page % 3 = 1)"
+
+
+def rule_table(rows: DataFrame) -> DataFrame:
+    """The same from rows of the glyph table, whose height says which they are."""
+    above = rows.where("page % 3 <> 0 AND (800 - row_y) % 30 = 0").select("doc_id", "page", (F.col("row_y") + 12).alias("rule_y"))
+    return above.unionByName(rows.where("page % 3 = 1").select("doc_id", "page", F.lit(828.0).alias("rule_y")).distinct())
+
+
+@query("w6_table_cells", f"""
+WITH RECURSIVE {GLYPHS_SQL}, {RULES_SQL}, p AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page) AS edge, count(*) OVER (PARTITION BY doc_id, page) AS many, min(row_y) OVER (PARTITION BY doc_id, page) AS low, max(row_y) OVER (PARTITION BY doc_id, page) AS high FROM rows_),
+near AS (SELECT DISTINCT r.doc_id, r.page, r.rule_y FROM rules r JOIN p ON p.doc_id = r.doc_id AND p.page = r.page WHERE rule_y BETWEEN low - 25 AND high + 25),
+ruled AS (SELECT *, lead(rule_y) OVER o AS under, row_number() OVER o - 1 AS no, count(*) OVER (PARTITION BY doc_id, page) AS n_rules FROM near WINDOW o AS (PARTITION BY doc_id, page ORDER BY rule_y DESC)),
+b AS (SELECT p.doc_id, p.page, p.op_index, p.row_y, p.edge, CASE WHEN coalesce(max(n_rules), 0) < 2 THEN p.op_index ELSE coalesce(min(no) FILTER (WHERE p.row_y <= rule_y + 1.5 AND p.row_y > under - 1.5), CASE WHEN p.row_y <= min(rule_y) THEN max(n_rules) - 1 ELSE -1 END) END::INTEGER AS gid
+  FROM p LEFT JOIN ruled r ON r.doc_id = p.doc_id AND r.page = p.page WHERE p.many >= 2 GROUP BY p.doc_id, p.page, p.op_index, p.row_y, p.edge),
+gaps AS (SELECT g.*, x0 - lag(x1) OVER (PARTITION BY doc_id, page, op_index ORDER BY x0, char_index) AS gap FROM glyphs g),
+starts AS (SELECT g.doc_id, g.page, g.x0, row_number() OVER (PARTITION BY g.doc_id, g.page ORDER BY g.op_index, g.x0) AS k FROM gaps g JOIN b USING (doc_id, page, op_index) WHERE gap IS NULL OR gap > 20),
+f AS (SELECT doc_id, page, k, [{{'x': x0, 'n': 1}}] AS bs FROM starts WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.page, s.k, CASE WHEN len(list_filter(bs, lambda e: abs(e.x - s.x0) <= 5)) = 0 THEN list_append(bs, {{'x': s.x0, 'n': 1}})
+    ELSE list_transform(bs, lambda e, i: {{'x': e.x, 'n': e.n + CASE WHEN i = list_position(list_transform(bs, lambda q: abs(q.x - s.x0) <= 5), true) THEN 1 ELSE 0 END}}) END
+  FROM f JOIN starts s ON s.doc_id = f.doc_id AND s.page = f.page AND s.k = f.k + 1),
+c AS (SELECT doc_id, page, list_sort(list_transform(list_filter(arg_max(bs, k), lambda e: e.n >= 2), lambda e: e.x)) AS cols FROM f GROUP BY doc_id, page),
+h AS (SELECT doc_id, page, gid, min(op_index) AS row, min(row_y) AS y0, max(row_y) + 10 AS y1 FROM b GROUP BY ALL),
+full_ AS (SELECT g.*, b.gid, b.edge, c.cols, greatest(len(list_filter(cols, lambda v: v <= g.x0 + 5)) - 1, 0) AS col FROM glyphs g JOIN b USING (doc_id, page, op_index) JOIN c USING (doc_id, page) WHERE len(cols) >= 2)
+SELECT g.doc_id, g.page, h.row::INTEGER AS row, g.gid, g.col::INTEGER AS col, round(min(x0), 3) AS x0, round(max(x1), 3) AS x1, h.y0, h.y1, round(coalesce(any_value(cols)[g.col + 2], any_value(edge)), 3) AS "right", 10.0::DOUBLE AS size,
+       md5(string_agg(text, '' ORDER BY -round(g.y0, 2), x0)) AS text FROM full_ g JOIN h USING (doc_id, page, gid) GROUP BY g.doc_id, g.page, h.row, g.gid, g.col, h.y0, h.y1""")
 def w6_table_cells(spark, sf_dir):
-    glyphs = M.build_rows(glyph_table(spark, sf_dir))
-    return M.table_cells(M.row_stats(glyphs), glyphs)
+    glyphs = staged(M.build_rows(glyph_table(spark, sf_dir)), "glyphs")
+    rows = staged(M.row_stats(glyphs), "rows")
+    cells = M.table_cells(rows, glyphs, rule_table(rows))
+    return cells.withColumns({c: F.round(c, 3) for c in ("x0", "x1", "right")} | {"text": F.md5("text")})
 
 
 _PAGE_TEXT = f"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import edits as E
 from quire.operators import pagemodel as M
+from quire.plans.reflow_plans import RULED, wrapped_sql
 from quire.plans.registry import query, table
 
 #: Twenty lines to a page. The length of a line decides its indent, size, columns, band and the gap above it.
@@ -84,3 +86,62 @@ SELECT r.doc_id, r.page, f.col::BIGINT AS col, count(*) AS n FROM r JOIN f ON f.
 def w2_merge_thin_bands(spark, sf_dir):
     rows = laid_rows(spark, sf_dir)
     return M.merge_thin_bands(rows).groupBy("doc_id", "page", "col").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Four rows to a band, with rules above and below; of five bands, the second is copied and the fourth taken out, on odd pages the first, too.
+EDITS_SQL = """
+rows_ AS (SELECT doc_id, page, i % 20 AS spot, 790 - (i % 20) * 15.0::DOUBLE AS row_y, i % 20 = 19 AS is_footer FROM m),
+tops AS (SELECT DISTINCT doc_id, page, spot // 4 AS band, 800 - (spot // 4) * 60.0::DOUBLE AS high, 740 - (spot // 4) * 60.0::DOUBLE AS low FROM rows_),
+edits AS (SELECT *, CASE WHEN band = 1 THEN 60.0 ELSE -60.0 END::DOUBLE AS delta, CASE WHEN band = 1 THEN 'insert' ELSE 'delete' END AS kind FROM tops WHERE band IN (1, 3) OR (band = 0 AND page % 2 = 1)),
+rects AS (SELECT doc_id, page, band * 10 AS seq, 50.0::DOUBLE AS x0, low - 0.5::DOUBLE AS y0, 250.0::DOUBLE AS x1, low + 0.5::DOUBLE AS y1, band = 4 AS rotated FROM tops
+  UNION ALL SELECT doc_id, page, band * 10 + 1, 50.0, low - 30, 51.0, high + 30, false FROM tops WHERE band % 2 = 0
+  UNION ALL SELECT doc_id, page, band * 10 + 2, 60.0, low + 2, 90.0, high - 2, false FROM tops)"""
+
+
+def _edits(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "line"))
+    at = F.col("i") % 20
+    rows = lines.select("doc_id", F.floor(F.col("i") / 20 + 1).cast("int").alias("page"), F.lit(0).alias("col"), at.alias("spot"), (790 - at * 15.0).alias("row_y"), (at == 19).alias("is_footer"))
+    tops = rows.select("doc_id", "page", "col", F.floor(F.col("spot") / 4).cast("int").alias("band")).distinct().withColumns({"high": 800 - F.col("band") * 60.0, "low": 740 - F.col("band") * 60.0})
+    edits = E.row_edits(tops.where("band = 1"), "insert").unionByName(E.row_edits(tops.where("band = 3 OR (band = 0 AND page % 2 = 1)"), "delete"))
+    rect = lambda n, x0, y0, x1, y1, rotated=F.lit(False): ["doc_id", "page", "col", (F.col("band") * 10 + n).alias("seq"), F.lit(x0).alias("x0"), y0.alias("y0"), F.lit(x1).alias("x1"), y1.alias("y1"), rotated.alias("rotated")]
+    low, high = F.col("low"), F.col("high")
+    rects = tops.select(*rect(0, 50.0, low - 0.5, 250.0, low + 0.5, F.col("band") == 4))
+    rects = rects.unionByName(tops.where("band % 2 = 0").select(*rect(1, 50.0, low - 30, 51.0, high + 30))).unionByName(tops.select(*rect(2, 60.0, low + 2, 90.0, high - 2)))
+    return rows, rects, edits
+
+
+@query("l8_edited_rows", f"""
+WITH {ROWS_SQL}, {EDITS_SQL}, s AS (SELECT r.*, coalesce(sum(e.delta), 0) AS shift FROM rows_ r LEFT JOIN edits e ON e.doc_id = r.doc_id AND e.page = r.page AND e.low - 0.5 > r.row_y
+    WHERE r.is_footer OR NOT EXISTS (SELECT 1 FROM edits d WHERE d.kind = 'delete' AND d.doc_id = r.doc_id AND d.page = r.page AND r.row_y < d.high AND r.row_y > d.low) GROUP BY ALL),
+y AS (SELECT doc_id, page, spot, is_footer, CASE WHEN is_footer THEN row_y ELSE row_y - shift END AS new_y, row_y, false AS copied FROM s),
+both_ AS (SELECT * FROM y UNION ALL SELECT y.doc_id, y.page, spot, is_footer, new_y - 60, row_y, true FROM y JOIN edits e ON e.kind = 'insert' AND e.doc_id = y.doc_id AND e.page = y.page AND row_y < high AND row_y > low AND NOT is_footer)
+SELECT doc_id, page, spot, new_y, copied, coalesce(min(CASE WHEN NOT is_footer THEN new_y END) OVER (PARTITION BY doc_id, page) >= 500, true) AS fits FROM both_""")
+def l8_edited_rows(spark, sf_dir):
+    rows, _, edits = _edits(spark, sf_dir)
+    return E.edit_rows(rows, edits, 500.0).select("doc_id", "page", "spot", "new_y", "copied", "fits")
+
+
+@query("l8_edited_rects", f"""
+WITH {ROWS_SQL}, {EDITS_SQL}, k AS (SELECT *, CASE WHEN x1 - x0 <= 1.5 THEN y0 ELSE (y0 + y1) / 2 END AS a, CASE WHEN x1 - x0 <= 1.5 THEN y1 ELSE (y0 + y1) / 2 END AS b FROM rects r
+    WHERE x1 - x0 <= 1.5 OR rotated OR NOT EXISTS (SELECT 1 FROM edits d WHERE d.kind = 'delete' AND d.doc_id = r.doc_id AND d.page = r.page AND abs((y0 + y1) / 2 - d.low) <= 1.5)),
+s AS (SELECT k.*, coalesce(sum(delta) FILTER (WHERE e.low - 0.5 > a), 0) AS da, coalesce(sum(delta) FILTER (WHERE e.low - 0.5 > b), 0) AS db FROM k LEFT JOIN edits e ON e.doc_id = k.doc_id AND e.page = k.page GROUP BY ALL),
+n AS (SELECT *, CASE WHEN rotated THEN y0 ELSE y0 - da END AS new_y0, CASE WHEN rotated THEN y1 ELSE y1 - db END AS new_y1 FROM s)
+SELECT doc_id, page, seq::INTEGER AS seq, new_y0, new_y1, false AS added FROM n
+UNION ALL SELECT n.doc_id, n.page, seq::INTEGER, new_y0 - 60, new_y1 - 60, true FROM n JOIN edits e ON e.kind = 'insert' AND e.doc_id = n.doc_id AND e.page = n.page WHERE x1 - x0 > 1.5 AND NOT rotated AND abs((y0 + y1) / 2 - e.low) <= 1.5""")
+def l8_edited_rects(spark, sf_dir):
+    _, rects, edits = _edits(spark, sf_dir)
+    return E.edit_rects(rects, edits).select("doc_id", "page", "seq", "new_y0", "new_y1", "added")
+
+
+@query("l6_rewrapped_rows", f"""
+WITH RECURSIVE {RULED}, {wrapped_sql('30000')}, c AS (SELECT conv_id, turn, count(*) AS lines FROM wrapped GROUP BY ALL),
+p AS (SELECT conv_id AS doc_id, turn AS para, 800.0::DOUBLE - turn * 30 AS top, 785.0::DOUBLE - turn * 30 AS bottom, CASE WHEN turn % 2 = 0 THEN (lines - 2) * 15.0 ELSE 0 END::DOUBLE AS delta FROM c),
+r AS (SELECT doc_id, para, unnest([top, bottom]) AS row_y FROM p)
+SELECT r.doc_id, r.para, r.row_y, (r.row_y - coalesce(sum(e.delta), 0))::DOUBLE AS new_y FROM r LEFT JOIN p e ON e.doc_id = r.doc_id AND e.bottom - 0.5 > r.row_y GROUP BY r.doc_id, r.para, r.row_y""")
+def l6_rewrapped_rows(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("col"), F.col("turn").alias("para"), "text")
+    paragraphs = turns.drop("text").withColumns({"top": 800.0 - F.col("para") * 30, "bottom": 785.0 - F.col("para") * 30, "left": F.lit(50.0), "right": F.lit(350.0), "size": F.lit(10.0), "gap": F.lit(15.0), "lines": F.lit(2)})
+    edits = E.rewraps(paragraphs, turns.where("para % 2 = 0"))
+    rows = paragraphs.select("doc_id", "page", "col", "para", F.explode(F.array("top", "bottom")).alias("row_y"), F.lit(False).alias("is_footer"))
+    return E.edit_rows(rows, edits).select("doc_id", "para", "row_y", "new_y")

@@ -32,7 +32,7 @@ lists AS (SELECT conv_id, turn, para, list(upto::BIGINT ORDER BY i) AS sums, lis
 ruled AS (SELECT p.*, length(p.line) AS n, coalesce(sums, []) AS sums, coalesce(blanks, []) AS blanks, coalesce(ch, []) AS ch, coalesce(wide, []) AS wide FROM paras p LEFT JOIN lists USING (conv_id, turn, para))"""
 
 
-def _wrapped(most: str) -> str:
+def wrapped_sql(most: str) -> str:
     """Steps of breaking each line: from (before the line's first character), least (characters consumed at least), and the line just ended. most: thousandths."""
     return f"""
 broken AS (
@@ -48,7 +48,7 @@ wrapped AS (SELECT conv_id, turn, para, k, line FROM broken WHERE k > 0 UNION AL
 
 
 @query("l2_wrap_text", f"""
-WITH RECURSIVE {RULED}, {_wrapped('30000')}
+WITH RECURSIVE {RULED}, {wrapped_sql('30000')}
 SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY para, k) - 1)::INTEGER AS i, line FROM wrapped""")
 def l2_wrap_text(spark, sf_dir):
     docs = table(spark, sf_dir, "conversations")
@@ -95,7 +95,7 @@ def l4_justify(spark, sf_dir):
 
 
 @query("l12_place_text_box", f"""
-WITH RECURSIVE {RULED}, {_wrapped("floor((577 - f.turn * 40) * 1000 / 12.0 + 1e-6)")}, c AS (SELECT conv_id, turn, count(*) AS lines FROM wrapped GROUP BY ALL),
+WITH RECURSIVE {RULED}, {wrapped_sql("floor((577 - f.turn * 40) * 1000 / 12.0 + 1e-6)")}, c AS (SELECT conv_id, turn, count(*) AS lines FROM wrapped GROUP BY ALL),
 b AS (SELECT conv_id, turn, turn * 40.0::DOUBLE AS x, turn * 20.0::DOUBLE + 10 AS y, 12.0::DOUBLE AS size, 595.0::DOUBLE AS page_w, 842.0::DOUBLE AS page_h, lines FROM c JOIN (SELECT DISTINCT conv_id, turn FROM conversations) USING (conv_id, turn))
 SELECT conv_id, turn, x, CASE WHEN y - (lines - 1) * size * 1.25 < 12 THEN least(y + (12 - (y - (lines - 1) * size * 1.25)), greatest(page_h - 12, y)) ELSE y END::DOUBLE AS y, size, page_w, page_h, (577 - x)::DOUBLE AS max_width FROM b""")
 def l12_place_text_box(spark, sf_dir):

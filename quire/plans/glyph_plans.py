@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import glyphs as G
 from quire.operators import pagemodel as M
+from quire.operators import redaction as RD
 from quire.plans.registry import query, table
 from quire.sources.staging import staged
 
@@ -375,3 +376,46 @@ SELECT doc_id, page, count(*) AS boxes FROM e WHERE p IS NULL OR x0 - p > 1.6 GR
 def w9_merge_line_rects(spark, sf_dir):
     rects = glyph_table(spark, sf_dir).where("text <> ' '").select("doc_id", "page", "x0", "y0", "x1", "y1")
     return M.merge_line_rects(rects, ["doc_id", "page"]).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("boxes"))
+
+
+#: The characters of the hits of two terms in a page's text, and the boxes that redacting them draws. whole: rather all glyphs of their rows.
+def _redacted_sql(whole: bool) -> str:
+    chosen = "SELECT DISTINCT e.* FROM e JOIN hit h ON h.doc_id = e.doc_id AND h.page = e.page AND h.op_index = e.op_index" if whole else "SELECT * FROM hit"
+    return f"""
+WITH {GLYPHS_SQL}, e AS (SELECT *, 800 - 15.0::DOUBLE * op_index AS yy FROM glyphs), terms(ord, term) AS (VALUES (0, 'the'), (1, 'tion')),
+t AS (SELECT doc_id, page, ord, term, string_split(whole, term) AS p FROM (SELECT doc_id, page, lower(string_agg(text, '' ORDER BY op_index, char_index)) AS whole FROM glyphs GROUP BY doc_id, page), terms),
+c AS (SELECT doc_id, page, ord, term, unnest(p[:-2]) AS piece, generate_subscripts(p[:-2], 1) AS k FROM t WHERE len(p) > 1),
+s AS (SELECT doc_id, page, ord, sum(length(piece) + length(term)) OVER (PARTITION BY doc_id, page, ord ORDER BY k) - length(term) AS a, length(term) AS n FROM c),
+hit AS (SELECT DISTINCT e.* FROM e JOIN s ON e.doc_id = s.doc_id AND e.page = s.page AND e.op_index * 60 + e.char_index >= a AND e.op_index * 60 + e.char_index < a + n),
+chosen AS ({chosen}),
+o AS (SELECT *, lag(x1) OVER w AS px, lag(yy) OVER w AS py FROM chosen WINDOW w AS (PARTITION BY doc_id, page ORDER BY yy DESC, x0, x1)),
+i AS (SELECT *, sum(CASE WHEN px IS NULL OR abs(yy - py) > 2 OR x0 - px > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY yy DESC, x0, x1 ROWS UNBOUNDED PRECEDING) AS b FROM o),
+boxes AS (SELECT doc_id, page, b, round(min(x0) + 0.02, 2) AS x0, round(min(yy) + 0.02, 2) AS y0, round(max(x1) - 0.02, 2) AS x1, round(max(yy) + 9.98, 2) AS y1 FROM i GROUP BY doc_id, page, b),
+k AS (SELECT e.*, EXISTS (SELECT 1 FROM boxes r WHERE r.doc_id = e.doc_id AND r.page = e.page AND e.x0 < r.x1 AND e.x1 > r.x0 AND e.yy < r.y1 AND e.yy + 10 > r.y0) AS gone FROM e),
+left_ AS (SELECT doc_id, page, count(*) FILTER (WHERE gone) AS removed, coalesce(string_agg(text, '' ORDER BY op_index, char_index) FILTER (WHERE NOT gone), '') AS kept FROM k GROUP BY doc_id, page)
+SELECT g.doc_id, g.page, (SELECT count(*) FROM s WHERE s.doc_id = g.doc_id AND s.page = g.page) AS hits, (SELECT count(*) FROM boxes r WHERE r.doc_id = g.doc_id AND r.page = g.page) AS regions, removed, md5(kept) AS text_left,
+       (contains(lower(kept), 'the')::INTEGER + contains(lower(kept), 'tion')::INTEGER) AS residue FROM left_ g WHERE EXISTS (SELECT 1 FROM s WHERE s.doc_id = g.doc_id AND s.page = g.page)"""
+
+
+def _redacted(spark, sf_dir, mode: str) -> DataFrame:
+    pages = RD.redact_terms(_even(spark, sf_dir).withColumn("row_y", F.col("y0")), ["the", "tion"], True, mode)
+    hits = F.aggregate(F.map_values("hits"), F.lit(0).cast("long"), lambda s, n: s + n)
+    return pages.select("doc_id", "page", hits.alias("hits"), F.size("regions").cast("long").alias("regions"), "removed", F.md5("left").alias("text_left"), "residue")
+
+
+@query("t8_redacted_pages", _redacted_sql(False))
+def t8_redacted_pages(spark, sf_dir):
+    return _redacted(spark, sf_dir, "term")
+
+
+@query("t8_redacted_lines", _redacted_sql(True))
+def t8_redacted_lines(spark, sf_dir):
+    return _redacted(spark, sf_dir, "line")
+
+
+@query("t3_find_boxes", _PAGE_TEXT + """, b AS (SELECT doc_id, page, hit, op_index, page % 2 = 0 AND char_index >= 40 AS far, min(x0) AS x0, max(x1) AS x1, min(yy) AS y FROM h GROUP BY ALL),
+n AS (SELECT doc_id, page, count(*) AS count FROM s GROUP BY ALL)
+SELECT b.doc_id, b.page, count, round(x0, 2) AS x0, round(y, 2) AS y0, round(x1, 2) AS x1, round(y + 10, 2) AS y1 FROM b JOIN n USING (doc_id, page)""")
+def t3_find_boxes(spark, sf_dir):
+    found = RD.find_boxes(_even(spark, sf_dir).withColumn("row_y", F.col("y0")), "the")
+    return found.select("doc_id", "page", "count", F.inline("boxes"))

@@ -346,3 +346,20 @@ def test_pipeline_on_awkward(spark, awkward, nothing):
             rows = made.collect()
             current = spark.createDataFrame(rows, made.schema)
     assert current.count() == 0
+
+
+def test_lines_of_a_text_of_very_many(spark):
+    import time
+
+    from quire.llm import linededup
+
+    shared = "a line that many documents share, long enough to count"
+    took = []
+    for n in (50_000, 100_000):
+        text = "\n".join([shared, *(f"line {i}" for i in range(n))])
+        docs = spark.createDataFrame([(i, text if i == 1 else f"{shared}\n{i}") for i in range(1, 7)], "doc_id long, text string")
+        began = time.perf_counter()
+        found = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+        took.append(time.perf_counter() - began)
+        assert found[1]["__kept"] == "\n".join(f"line {i}" for i in range(n)) and found[1]["__n_dropped"] == 1 and found[6]["__n_dropped"] == 0
+    assert took[1] < 4 * took[0] + 5

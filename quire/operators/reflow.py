@@ -304,6 +304,34 @@ def align_chars(glyphs: DataFrame, chars: DataFrame) -> DataFrame:
     return first.withColumn("conflicts", F.size(F.filter("all", lambda t: t != F.col("text")))).drop("all")
 
 
+def align_text(glyphs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which code shows which character, for runs (doc_id, run) whose text is known: (text, font_alias, code and conflicts by run; the runs, with how they fit).
+
+    glyphs: doc_id, run, pos, font_alias, code, x0, x1, size; texts: doc_id, run, text. Glyphs
+    and characters are put side by side if they are as many: all glyphs with the characters
+    but blanks, or with all; else the same with only those wider than max(0.15 * size, 0.5),
+    which leaves out blanks and marks of no width. `fit` says which (1 to 4), null that none
+    does; line ends never count. The first code of a character stands, conflicts counts later ones.
+    """
+    key = ["doc_id", "run"]
+    solid = F.col("x1") - F.col("x0") > F.greatest(F.col("size") * 0.15, F.lit(0.5))
+    plain = texts.select(*key, F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", "").alias("every")).withColumn("bare", F.regexp_replace("every", r"(?U)\s", ""))
+    n = glyphs.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(solid).alias("n_solid"))
+    tried, fit = plain.join(n, key, "left").na.fill(0, ["n_all", "n_solid"]), F.lit(None).cast("int")
+    for k, (g, c) in reversed(list(enumerate([("n_all", "bare"), ("n_all", "every"), ("n_solid", "bare"), ("n_solid", "every")], 1))):
+        fit = F.when(F.col(g) == F.char_length(c), k).otherwise(fit)
+    runs = tried.withColumn("fit", F.when(F.char_length("bare") > 0, fit)).drop("n_all", "n_solid")
+    fitted = runs.where("fit IS NOT NULL")
+    chars = fitted.select(*key, F.posexplode(F.split(F.when(F.col("fit") % 2 == 1, F.col("bare")).otherwise(F.col("every")), "")).alias("at", "text")).where("text <> ''")
+    place = Window.partitionBy(*key).orderBy("pos")
+    chosen = glyphs.withColumn("solid", solid).join(fitted.select(*key, "fit"), key).where("fit <= 2 OR solid")
+    placed = chosen.withColumn("at", F.row_number().over(place) - 1).select(*key, "at", "font_alias", "code")
+    pairs = placed.join(chars, [*key, "at"])
+    first = pairs.groupBy(*key, "text").agg(F.min_by(F.struct("font_alias", "code"), "at").alias("shown"), F.collect_list(F.struct("font_alias", "code")).alias("all"))
+    found = first.select(*key, "text", "shown.*", F.size(F.filter("all", lambda x: x != F.col("shown"))).alias("conflicts"))
+    return found, runs.select(*key, "fit")
+
+
 def locate_cell(cells: DataFrame, wanted: DataFrame) -> DataFrame:
     """The cell for each wanted (id, doc_id, text, row, col): equal text, nearest by rows and columns, then first."""
     joined = wanted.join(cells.select("doc_id", "text", F.col("row").alias("c_row"), F.col("col").alias("c_col")), ["doc_id", "text"])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import count_hits, find_spans, flat, folded, preview
+from quire.operators.ranks import running
 from quire.operators.terms import edited, many_hits
 
 #: Terms longer than this are refused, as are more terms than a plan should hold.
@@ -150,11 +151,15 @@ def edit_stats(before: DataFrame, after: DataFrame, terms: Sequence[str]) -> Dat
 
 
 def hit_numbers(hits: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Numbers from 0 in the given order, with the next and previous in a circle. `by` numbers apart, which is what scales."""
-    place = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(place)
-    at = F.row_number().over(place.orderBy(*order)) - 1
-    return hits.withColumn("number", at.cast("long")).withColumns({"next": F.pmod(at + 1, n).cast("long"), "previous": F.pmod(at - 1, n).cast("long")})
+    """Numbers from 0 in the given order, with the next and previous in a circle; apart for each `by`, else over all hits, whose ranges are counted apart."""
+    if by:
+        place = Window.partitionBy(*by)
+        numbered = hits.withColumns({"number": (F.row_number().over(place.orderBy(*order)) - 1).cast("long"), "__n": F.count(F.lit(1)).over(place)})
+    else:
+        numbered = running(hits, [], order, {"number": F.lit(1)})
+        numbered = numbered.withColumn("__n", numbered.agg(F.count(F.lit(1))).scalar())
+    at, n = F.col("number"), F.col("__n")
+    return numbered.withColumns({"next": F.pmod(at + 1, n), "previous": F.pmod(at - 1, n)}).drop("__n")
 
 
 def hit_summary(hits: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import glyphs as G
 from quire.operators import pagemodel as M
 from quire.operators import redaction as RD
+from quire.operators import reflow as R
 from quire.plans.registry import query, table
 from quire.sources.staging import staged
 
@@ -419,3 +420,31 @@ SELECT b.doc_id, b.page, count, round(x0, 2) AS x0, round(y, 2) AS y0, round(x1,
 def t3_find_boxes(spark, sf_dir):
     found = RD.find_boxes(_even(spark, sf_dir).withColumn("row_y", F.col("y0")), "the")
     return found.select("doc_id", "page", "count", F.inline("boxes"))
+
+
+#: Turns as runs whose text is known. By page: all glyphs; none for blanks; none for blanks but a narrow one after every tenth; one glyph too few.
+_RUNS_SQL = """
+shown AS (SELECT doc_id, page, op_index * 60 + char_index AS i, font_alias, code + 1000 * (op_index % 2) AS code, x0, x1, ch FROM glyphs),
+chosen AS (SELECT *, i * 2 AS pos FROM shown WHERE page % 4 = 0 OR (page % 4 < 3 AND ch <> ' ') OR (page % 4 = 3 AND i > 0)
+  UNION ALL SELECT doc_id, page, i, 'F9', 7, x0, x0 + 0.1, ch, i * 2 + 1 FROM shown WHERE page % 4 = 2 AND i % 10 = 0)"""
+
+
+@query("j17_align_text", f"""
+WITH {GLYPHS_SQL}, {_RUNS_SQL},
+t AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, replace(replace(text, chr(10), ''), chr(13), '') AS every, replace(replace(replace(text, chr(10), ''), chr(13), ''), ' ', '') AS bare FROM conversations WHERE text <> ''),
+n AS (SELECT doc_id, page, count(*) AS n_all, count(*) FILTER (WHERE x1 - x0 > 1.5) AS n_solid FROM chosen GROUP BY ALL),
+f AS (SELECT t.*, CASE WHEN length(bare) = 0 THEN NULL WHEN n_all = length(bare) THEN 1 WHEN n_all = length(every) THEN 2 WHEN n_solid = length(bare) THEN 3 WHEN n_solid = length(every) THEN 4 END AS fit FROM t JOIN n USING (doc_id, page)),
+c AS (SELECT doc_id, page, unnest(string_split(CASE WHEN fit % 2 = 1 THEN bare ELSE every END, '')) AS text, generate_subscripts(string_split(CASE WHEN fit % 2 = 1 THEN bare ELSE every END, ''), 1) AS k FROM f WHERE fit IS NOT NULL),
+side AS (SELECT x.doc_id, x.page, font_alias, x.code, row_number() OVER (PARTITION BY x.doc_id, x.page ORDER BY pos) AS k FROM chosen x JOIN f USING (doc_id, page) WHERE fit <= 2 OR (fit > 2 AND x1 - x0 > 1.5)),
+p AS (SELECT side.*, c.text FROM side JOIN c USING (doc_id, page, k)),
+w AS (SELECT *, first_value(font_alias || code) OVER o AS first, row_number() OVER o AS r FROM p WINDOW o AS (PARTITION BY doc_id, page, text ORDER BY k))
+SELECT doc_id, page, text, arg_min(font_alias, r) AS font_alias, arg_min(code, r)::INTEGER AS code, (count(*) FILTER (WHERE font_alias || code <> first))::INTEGER AS conflicts FROM w GROUP BY doc_id, page, text""")
+def j17_align_text(spark, sf_dir):
+    i = F.col("op_index") * 60 + F.col("char_index")
+    g = glyph_table(spark, sf_dir).select("doc_id", F.col("page").alias("run"), i.alias("i"), "font_alias", (F.col("code") + 1000 * (F.col("op_index") % 2)).alias("code"), "x0", "x1", "text")
+    kind = F.col("run") % 4
+    kept = g.where((kind == 0) | ((kind < 3) & (F.col("text") != " ")) | ((kind == 3) & (F.col("i") > 0))).withColumn("pos", F.col("i") * 2)
+    narrow = g.where((kind == 2) & (F.col("i") % 10 == 0)).withColumns({"font_alias": F.lit("F9"), "code": F.lit(7), "x1": F.col("x0") + 0.1, "pos": F.col("i") * 2 + 1})
+    texts = table(spark, sf_dir, "conversations").where("text <> ''").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("run"), "text")
+    found, _ = R.align_text(kept.unionByName(narrow).withColumn("size", F.lit(10.0)), texts)
+    return found.withColumnRenamed("run", "page")

@@ -78,6 +78,17 @@ def t3_find_text_capped(spark, sf_dir):
     return hits.select("doc_id", "page", "para", "count", "seq", "truncated")
 
 
+_ESCAPED = "replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query("p18_marked_previews", f"""
+WITH {SPANS}, first AS (SELECT doc_id, flat, min(a) AS a, greatest(min(a) - 18, 0) AS lo, least(min(a) + 22, length(flat)) AS hi FROM spans GROUP BY doc_id, flat),
+p AS (SELECT doc_id, (CASE WHEN lo > 0 THEN '…' ELSE '' END) || substr(flat, lo + 1, hi - lo) || (CASE WHEN hi < length(flat) THEN '…' ELSE '' END) AS preview FROM first)
+SELECT doc_id, array_to_string(list_transform(string_split(preview, 'tion'), lambda x: {_ESCAPED}), '<mark>tion</mark>') AS marked FROM p""")
+def p18_marked_previews(spark, sf_dir):
+    return S.find_text(S.segments(_docs(spark, sf_dir)), "tion").select("doc_id", T.marked("preview", "tion").alias("marked"))
+
+
 @query("t4_page_search", """
 SELECT conv_id AS doc_id, (turn + 1)::INTEGER AS page, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3)::BIGINT AS count
 FROM conversations WHERE contains(lower(text), 'the')""")
@@ -222,6 +233,14 @@ def w15_hit_numbers(spark, sf_dir):
     return S.hit_numbers(hits, ["page"], ["doc_id"])
 
 
+@query("w15_hit_numbers_overall", """
+WITH h AS (SELECT doc_id, length(text) AS n FROM documents WHERE contains(text, 'tion')), k AS (SELECT doc_id, row_number() OVER (ORDER BY n, doc_id) - 1 AS number, count(*) OVER () AS c FROM h)
+SELECT doc_id, number, (number + 1) % c AS next, (number - 1 + c) % c AS previous FROM k""")
+def w15_hit_numbers_overall(spark, sf_dir):
+    hits = _docs(spark, sf_dir).where(F.col("text").contains("tion")).select("doc_id", F.char_length("text").alias("n"))
+    return S.hit_numbers(hits, ["n", "doc_id"]).drop("n")
+
+
 @query("a15_hit_summary", """
 SELECT conv_id AS doc_id, count(*) AS segments, sum((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS occurrences
 FROM conversations WHERE contains(text, 'the') GROUP BY conv_id""")

@@ -274,7 +274,7 @@ def r4_stale_stream(spark, sf_dir):
 @query("r5_ingest_stream", "SELECT sha1(html) AS sha, length(html)::BIGINT AS size FROM pages GROUP BY html")
 def r5_ingest_stream(spark, sf_dir):
     pages = _arriving(spark, sf_dir, "pages")
-    files = pages.select(F.col("url").alias("path"), F.timestamp_seconds(F.lit(0)).alias("modificationTime"), F.char_length("html").cast("long").alias("length"), F.col("html").cast("binary").alias("content"))
+    files = pages.select(F.col("url").alias("path"), F.timestamp_seconds(F.lit(86400)).alias("modificationTime"), F.char_length("html").cast("long").alias("length"), F.col("html").cast("binary").alias("content"))
     return stateful.delivered(S.catalogued(files), "append").select("sha", "size")
 
 

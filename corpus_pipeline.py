@@ -4,6 +4,13 @@ Language ID drops texts in no learned language; line dedup drops lines that many
 share; near-dedup keeps one document of each class; mixing repeats and samples documents
 towards the sources' targets; encoding gives each document's tokens as digests. All but the
 last return the columns of documents, n_chars following the text.
+
+Defined results: a null or empty text, or one without letters, is in no language and goes; a
+null lang, source or n_chars stays as it is (null is a source of its own); rows that share a
+doc_id are judged row by row, but are one document to line dedup and near-dedup; a null doc_id
+is no near duplicate and never keeps a line; of equal texts that with the least doc_id stays;
+very long texts are treated whole; columns beyond those of documents pass through all stages
+but the last, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -7,7 +7,12 @@ keep the same order of merges in a heap over linked parts instead.
 
 Tasks are independent maps over whole texts; the vocabulary (fixed, about 2 MB) is read on
 the driver and broadcast, and each Python worker remembers the words it has met, up to a
-bound on their number.
+bound on their number. Python, `regex` and the library follow different versions of Unicode,
+so the driver asks the library once for the lower case and the class of every character and
+sends the differences along.
+
+Texts of any length are encoded whole, a chunk between blanks after the other, in time that
+grows as the length (with its logarithm inside a word).
 
 Defined results: a null text is empty; an empty text has no ids and decodes to the empty
 text; the strings of special tokens become their ids wherever they stand; an empty table
@@ -19,14 +24,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.util import Memo, per_worker
@@ -46,11 +54,47 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def lowered(text: str) -> str:
+    # Letters are lowered one by one: a capital sigma has no final form.
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+class Unlike(NamedTuple):
+    """Characters that the library lowers or classes otherwise than Python does: to what it lowers them, and a character of the class it puts them in."""
+
+    lower: dict[int, str]
+    stand_in: dict[int, str]
+
+
+@lru_cache(maxsize=4)
+def unlike(definition: bytes) -> Unlike:
+    """What the library's normaliser and pre-tokenizer do to single characters, where that differs."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(definition.decode())
+    every = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    known = regex.findall(r"[^\p{Cn}\p{Co}\s.]", every)
+    lower = {ord(c): x for c, x in zip(known, library.normalizer.normalize_str(".".join(known)).split(".")) if x != lowered(c)}
+
+    def joined(chars: list[str], to: str) -> set[str]:
+        """Those of the characters that are one piece with the one after them."""
+        text = " ".join(c + to for c in chars)
+        return {text[a] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text) if b - a == 2}
+
+    classed = regex.findall(r"[\p{L}\p{N}]", every)
+    letters = joined(classed, "a")
+    rest = [c for c in classed if c not in letters]
+    marks = joined(rest, "_")
+    stand_in = {ord(c): "a" for c in letters if not regex.match(r"\p{L}", c)} | {ord(c): "_" for c in marks}
+    return Unlike(lower, stand_in | {ord(c): "0" for c in rest if c not in marks and not regex.match(r"\p{N}", c)})
+
+
 class Codec:
     """Encodes and decodes with a vocabulary of the kind of word_bpe_49k.json."""
 
-    def __init__(self, definition: bytes):
+    def __init__(self, definition: bytes, differ: Unlike | None = None):
         spec = json.loads(definition)
+        self.unlike = differ or unlike(definition)
         model = spec["model"]
         self.vocab = {**model["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
         self.end = model["end_of_word_suffix"] or ""
@@ -106,9 +150,12 @@ class Codec:
         return [p for p in parts if p >= 0]
 
     def encode_chunk(self, chunk: str) -> bytes:
-        # Letters are lowered one by one: a capital sigma has no final form.
-        lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        words = self.words.findall(lowered)
+        if chunk.isascii():
+            words = self.words.findall(chunk.lower())
+        else:
+            low = lowered(unicodedata.normalize("NFC", chunk).translate(self.unlike.lower))
+            classed = low.translate(self.unlike.stand_in)
+            words = self.words.findall(low) if classed == low else [low[m.start() : m.end()] for m in self.words.finditer(classed)]
         return b"".join([self.by_word[w] if len(w) <= MEMO_LENGTH else self.encode_word(w) for w in words])
 
     def encode_plain(self, text: str) -> bytes:
@@ -132,14 +179,20 @@ class Codec:
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def codec(definition: bytes) -> Codec:
+def codec(sent: tuple[bytes, Unlike]) -> Codec:
     """One codec per Python worker and vocabulary."""
-    return per_worker(("codec", hash(definition)), lambda: Codec(definition))
+    return per_worker(("codec", hash(sent[0])), lambda: Codec(*sent))
+
+
+def broadcast_of(spark: SparkSession, vocabulary: str):
+    """The vocabulary file and the characters that differ, for `codec`: both of fixed size."""
+    definition = Path(vocabulary).read_bytes()
+    return spark.sparkContext.broadcast((definition, unlike(definition)))
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    held = broadcast_of(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(held.value)
@@ -152,7 +205,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and text of rows with doc_id and ids."""
-    held = encoded.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    held = broadcast_of(encoded.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(held.value)
@@ -165,7 +218,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def digests(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Each text encoded and decoded again in one pass: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
-    held = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    held = broadcast_of(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(held.value)

@@ -41,6 +41,25 @@ def test_bpe_is_the_library(spark, docs):
         assert got[d.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_every_character_is_encoded_as_by_the_library():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    library, own = Tokenizer.from_file(path), bpe.Codec(open(path, "rb").read())
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    differ = own.unlike.lower.keys() | own.unlike.stand_in.keys()
+    some = [c for c in every if ord(c) in differ or unicodedata.category(c) not in ("Cn", "Co", "Lo")]
+    assert len(differ) > 1000
+    for form, chars in (("a{}b", every), ("{}", some), ("1{}!", some), ("{}{}Σ", some)):
+        texts = [form.replace("{}", c) for c in chars]
+        for at in range(0, len(texts), 50_000):
+            part = texts[at : at + 50_000]
+            want = library.encode_batch_fast(part, add_special_tokens=False)
+            assert [t for t, w in zip(part, want) if own.encode_plain(t) != np.asarray(w.ids, "<u4").tobytes()] == [], form
+
+
 def test_short_and_long_words_merge_alike():
     own = bpe.Codec(open(bpe.default_vocabulary(), "rb").read())
     r = random.Random(2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds that are accepted (fixed values).
+#: Kinds of annotations and objects, fonts and labels, as they are accepted and shown.
 ANNOTATION_KINDS = ("highlight", "underline", "wavy", "strike", "box", "note")
 OBJECT_KINDS = ("whiteout", "text", "rect", "ellipse", "line", "image", "redact")
 FONTS = ("Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Times-Roman", "Times-Bold", "Courier", "Courier-Bold")

@@ -10,9 +10,8 @@ to the tasks is bounded by HEAD, TAILS and STATES while the counts grow with the
 
 Baum-Welch: each task runs the scaled forward and backward recursions over its own texts and
 adds up expected counts; these are summed by Spark, a row per symbol, and give the next
-model. It starts on about WARM_TOKENS tokens of texts chosen by a hash, and the last ALL_ROUNDS
-rounds go over all training texts, cut into stretches of at most STRETCH symbols of which
-none is left out. Scores are exact: the forward recursion runs over whole texts, for very long
+model. Each of the ROUNDS rounds goes over all training texts, cut into stretches of at most
+STRETCH symbols of which none is left out. Scores are exact: the forward recursion runs over whole texts, for very long
 ones (LONG) as products of the segments' transition matrices, which are made side by side.
 
 Defined results: a null text is empty and has the end alone; a null doc_id trains and is not
@@ -39,8 +38,8 @@ from pyspark.sql import functions as F
 from quire.llm.util import per_worker, stage
 
 STATES, HEAD, TAILS = 8, 32_000, 1024
-#: Rounds over the sample to start from, about so many tokens, and rounds over all training texts.
-WARM_ROUNDS, WARM_TOKENS, ALL_ROUNDS = 12, 2_000_000, 2
+#: Rounds, each over all training texts, and how many partitions of these a task of a round takes.
+ROUNDS, MERGED = 12, 4
 #: Symbols of a training sequence, and how many are held at once.
 STRETCH, BLOCK = 256, 1 << 17
 #: Symbols from which a text is scored by segments, their length, and symbols scored side by side.
@@ -216,42 +215,50 @@ class Packed:
 
 
 class Expected:
-    """Expected counts of a task under a model."""
+    """Expected counts of a task under a model. Tables here have a row per state, so that each step works along long rows."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.first, self.step, self.emit, self.log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(model.emit.shape), 0.0
+        self.chances = np.ascontiguousarray(model.emit.T)
+        self.first, self.step, self.log = np.zeros(STATES), np.zeros((STATES, STATES)), 0.0
+        self.by_state = np.zeros(self.chances.shape)
+
+    @property
+    def emit(self) -> np.ndarray:
+        return self.by_state.T
 
     def add(self, rows: list[np.ndarray], begins: list[bool]) -> None:
         """Forward and backward over the sequences; begins says which start a text."""
         laid, m = Packed(rows), self.model
-        chance, ends = m.emit[laid.symbols], laid.ends
-        forward, scale = np.empty_like(chance), np.empty(len(chance))
+        chance, ends, symbols = np.empty((STATES, len(laid.symbols))), laid.ends.tolist(), laid.symbols.astype("i8")
+        for k in range(STATES):
+            self.chances[k].take(symbols, out=chance[k], mode="clip")  # all are in range; "clip" spares a copy
+        forward, scale = np.empty_like(chance), np.empty(len(symbols))
         fresh = np.array(begins)[laid.order]
-        ahead = np.where(fresh[:, None], m.first, m.usual)
-        for t, width in enumerate(laid.width):
-            at = slice(ends[t], ends[t] + width)
-            now = ahead[:width] * chance[at]
-            total = now.sum(1)
-            now /= total[:, None]
-            forward[at], scale[at] = now, total
-            ahead = now @ m.step
-        behind, paths = np.ones((laid.width[-1], STATES)), np.zeros((STATES, STATES))
-        for t in range(len(laid.width) - 1, -1, -1):
-            at = slice(ends[t], ends[t] + laid.width[t])
-            if t < len(laid.width) - 1:
-                wider = np.ones((laid.width[t], STATES))
-                wider[: len(behind)] = behind @ m.step.T
-                paths += forward[at][: len(behind)].T @ behind
+        onward, back = np.ascontiguousarray(m.step.T), np.ascontiguousarray(m.step)
+        ahead = np.where(fresh, m.first[:, None], m.usual[:, None])
+        for at, end in zip(ends, ends[1:]):
+            now = ahead[:, : end - at] * chance[:, at:end]
+            total = now.sum(0, out=scale[at:end])
+            now /= total
+            forward[:, at:end] = now
+            ahead = onward @ now
+        chance /= scale
+        behind, paths = np.ones((STATES, ends[-1] - ends[-2])), np.zeros((STATES, STATES))
+        for t in range(len(ends) - 2, -1, -1):
+            at, end = ends[t], ends[t + 1]
+            if t < len(ends) - 2:
+                met = behind.shape[1]
+                paths += forward[:, at : at + met] @ behind.T
+                wider = np.ones((STATES, end - at))
+                np.matmul(back, behind, out=wider[:, :met])
                 behind = wider
-            gamma = forward[at] * behind
-            if t == 0:
-                self.first += gamma[fresh].sum(0)
-            behind = behind * chance[at] / scale[at][:, None]
-            forward[at] = gamma
+            forward[:, at:end] *= behind
+            behind = behind * chance[:, at:end]
+        self.first += forward[:, : ends[1]][:, fresh].sum(1)
         self.step += paths * m.step
         for k in range(STATES):
-            self.emit[:, k] += np.bincount(laid.symbols, weights=forward[:, k], minlength=len(self.emit))
+            self.by_state[k] += np.bincount(symbols, weights=forward[k], minlength=self.by_state.shape[1])
         self.log += float(np.log10(scale).sum())
 
 
@@ -292,15 +299,12 @@ def trained(texts: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, floa
 
 
 def learned(texts: DataFrame, corpus: Corpus) -> Model:
-    """Baum-Welch over a bounded sample of the texts (id, symbols) first, then over all."""
-    model, part = started(corpus), min(1.0, WARM_TOKENS / max(corpus.total, 1))
-    # A hash of the words themselves, so that the sample does not hang on how rows are dealt out.
-    chosen = texts.where(F.pmod(F.xxhash64("symbols"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    sample = stage(chosen.select("symbols").repartition(8), "hmm-sample")
-    for _ in range(WARM_ROUNDS):
-        model, _ = trained(sample, model, corpus)
-    for _ in range(ALL_ROUNDS):
-        model, _ = trained(texts, model, corpus)
+    """ROUNDS rounds of Baum-Welch, each over all of the texts."""
+    parts, cores = texts.rdd.getNumPartitions(), texts.sparkSession.sparkContext.defaultParallelism
+    # Each task hands on a row per symbol, so a task takes a few files' texts one after the other.
+    every, model = texts.coalesce(max(min(parts, cores), parts // MERGED)), started(corpus)
+    for _ in range(ROUNDS):
+        model, _ = trained(every, model, corpus)
     return model
 
 

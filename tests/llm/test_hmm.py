@@ -111,3 +111,17 @@ def test_workers_do_not_keep_the_words_of_an_earlier_run(spark):
     for part in (docs.where("doc_id < 60"), docs.where("doc_id >= 120"), docs.where("doc_id < 30")):
         found = hmm.op13_language_model_scores(part.coalesce(2)).collect()
         assert sorted((tuple(r)[:5] + (round(r["base_score"], 5),) for r in found), key=str) == base_of([(r["doc_id"], r["text"]) for r in part.collect()])
+
+
+def test_every_round_learns_from_all_training_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(9)
+    seen, trained = [], hmm.trained
+
+    def watched(texts, model, corpus):
+        seen.append((texts.agg(F.sum(F.length("symbols"))).first()[0] // 2, corpus.total))
+        return trained(texts, model, corpus)
+
+    monkeypatch.setattr(hmm, "trained", watched)
+    monkeypatch.setattr(hmm, "WARM_TOKENS", 1000, raising=False)
+    assert np.isfinite(scores(docs)["score"]).all()
+    assert len(seen) >= 10 and all(tokens == total > 1000 for tokens, total in seen)

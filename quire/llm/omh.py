@@ -307,7 +307,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
         labels = stage(united(labels, stage(aligned(pairs, words), "omh-links")), "omh-labels")
     rest = unsettled(open_, labels).select("id", "label").distinct().join(words, "id").join(nodes.select("id", *lanes()), "id")
     bags = stage(rest.select("id", "label", F.col("words").alias("items"), *LANES), "omh-bags")
-    rare = stage(prefixes(bags, SIMILAR, "<u4"), "omh-rare")
+    rare = stage(prefixes(bags, SIMILAR, "<u4", after=True), "omh-rare")
     pairs = pairs_of(rare, SIMILAR, same_lane).distinct().join(tried, ["a", "b"], "left_anti")
     links = stage(aligned(stage(pairs, "omh-pairs"), words), "omh-links")
     labels = stage(united(labels, links), "omh-labels")

@@ -382,3 +382,37 @@ def test_lines_of_a_text_of_very_many(spark):
         took.append(time.perf_counter() - began)
         assert found[1]["__kept"] == "\n".join(f"line {i}" for i in range(n)) and found[1]["__n_dropped"] == 1 and found[6]["__n_dropped"] == 0
     assert took[1] < 4 * took[0] + 5
+
+
+def test_unlike_texts_of_one_repeated_passage_seldom_meet(spark, monkeypatch):
+    r, rows = random.Random(5), []
+    common = [f"w{i}" for i in range(40)]
+    for i in range(90):
+        own = [r.choice(common) if r.random() < 0.3 else f"own{r.randint(0, 900)}" for _ in range(r.randint(44, 64))]
+        rows.append((i, " ".join(own + ["is", "on"] * 100)))
+    words = {i: omh.word_hashes(t) for i, t in rows}
+    labels, met, pairs_of = {i: i for i, _ in rows}, [], rare.pairs_of
+    like = {(a, b) for a in words for b in words if a < b and omh.similar(words[a], words[b])}
+    could = {(a, b) for a in words for b in words if a < b and omh.shared(words[a], words[b]) >= 0.8 * max(len(words[a]), len(words[b])) - 1e-9}
+
+    def watched(made, least, near):
+        met.append(pairs_of(made, least, near).collect())
+        full = {tuple(x) for x in pairs_of(made, least, lambda a, b: F.lit(True)).collect()}
+        named = {x.id: x.label for x in made.select("id", "label").distinct().collect()}
+        assert all((a, b) in full for a, b in could if a in named and b in named and named[a] != named[b])
+        return pairs_of(made, least, near)
+
+    monkeypatch.setattr(omh, "pairs_of", watched)
+    found = {x.doc_id: x.class_id for x in omh.op8_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for _ in rows:
+        for a, b in like:
+            labels[a] = labels[b] = min(labels[a], labels[b])
+    assert found == labels
+    assert like and len(met) == 1 and len(met[0]) < 3500  # of 4005 pairs, some met at several items
+
+
+@pytest.mark.parametrize("bags", [[], [[1], [2]], [[1, 1, 1], [1, 1, 1]]])
+def test_commonest_occurrences_of_few_bags(spark, bags):
+    made = rare.prefixes(spark.createDataFrame([(i, i, b) for i, b in enumerate(bags)], "id long, label long, items array<long>"), 0.8, after=True)
+    found = [(x.a, x.b) for x in rare.pairs_of(made, 0.8, lambda a, b: F.lit(True)).collect()]
+    assert found == ([(0, 1)] if len(bags) == 2 and bags[0] == bags[1] else [])

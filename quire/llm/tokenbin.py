@@ -46,7 +46,7 @@ SKIPPABLE, SEEK_TABLE, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 HEAD = struct.Struct("<q?3x")  # doc_id, whether it is null
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 #: Pieces that a worker remembers (up to twice as many).
-MEMO_ITEMS = 300_000
+MEMO_ITEMS = 1_000_000
 #: Letters below are Latin ones that every version of Unicode classes alike; marks that are pre-tokens of their own after a word.
 PLAIN_END, MARKS = "\u0250", set(",.;:!?")
 #: Bytes of neighbouring frames that a full read asks for at once.
@@ -68,6 +68,7 @@ class PieceEncoder:
     """The ids of whole texts by the tokenizers library, with a memory of pieces."""
 
     runs = re.compile(r"\s*\S+|\s+")
+    signed = re.compile(r"([A-Za-z]+)([!-&(-/:;=-@[-`{-~]+)")  # no apostrophe, and no < of a special token
     words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
     def __init__(self, definition: bytes):
@@ -77,8 +78,9 @@ class PieceEncoder:
         self.library = Tokenizer.from_str(definition.decode())
         self.library.no_padding()
         self.library.no_truncation()
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
+        self.blank = self.letters[ord(" ")]
         self.after_blank = Memo(self.encode_after_blank, MEMO_ITEMS)
         self.bare = Memo(lambda part: self.encode_piece(part, ""), MEMO_ITEMS // 10)
         self.by_token = Memo(self.tokenized, MEMO_ITEMS // 10)
@@ -86,8 +88,11 @@ class PieceEncoder:
 
     def tokenized(self, word: str) -> bytes:
         """The ids of one pre-token by the library's model."""
-        spelt = word.translate(self.letters) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return self.spelt(word.translate(self.letters) if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+
+    def spelt(self, word: str) -> bytes:
+        """The ids of one pre-token whose bytes are spelt as letters."""
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
 
     def encode_piece(self, piece: str, blank: str = " ") -> bytes:
         """The ids of a piece after a blank (or none). Plain words and marks are pre-tokens for certain and go straight to the library's BPE model; all else takes the library's whole way."""
@@ -107,6 +112,14 @@ class PieceEncoder:
         return np.asarray(self.library.encode(blank + piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_after_blank(self, part: str) -> bytes:
+        if part.isascii():  # most are a word of letters that spell themselves, and perhaps a mark
+            if part.isalpha():
+                return self.spelt(self.blank + part)
+            word = part[:-1]
+            if word.isalpha() and part[-1] in MARKS:
+                return self.after_blank[word] + self.bare[part[-1]]
+            if found := self.signed.fullmatch(part):
+                return self.after_blank[found[1]] + self.bare[found[2]]
         if not part or part[0].isspace():
             raise Odd
         return self.encode_piece(part)

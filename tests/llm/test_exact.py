@@ -416,3 +416,18 @@ def test_commonest_occurrences_of_few_bags(spark, bags):
     made = rare.prefixes(spark.createDataFrame([(i, i, b) for i, b in enumerate(bags)], "id long, label long, items array<long>"), 0.8, after=True)
     found = [(x.a, x.b) for x in rare.pairs_of(made, 0.8, lambda a, b: F.lit(True)).collect()]
     assert found == ([(0, 1)] if len(bags) == 2 and bags[0] == bags[1] else [])
+
+
+def test_signs_after_a_known_word_do_not_encode_the_word_again():
+    from tokenizers import Tokenizer
+
+    path, r = tokenbin.default_vocabulary(), random.Random(8)
+    library, own = Tokenizer.from_file(path), tokenbin.PieceEncoder(open(path, "rb").read())
+    own.encode("a word word$$$ word.&&& word***")
+    assert " word" not in own.by_token and "word***" in own.after_blank
+    signs = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "é¡ \n\t1'<"
+    for _ in range(3000):
+        text = " ".join("".join(r.choice("abWé") for _ in range(r.randint(0, 4))) + "".join(r.choice(signs) for _ in range(r.randint(0, 4))) for _ in range(5))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    for text in (" it's", "word's", "x<|endoftext|>", "a <|endoftext|> b<|endoftext|>.", "word._", "w\\|~`^ x[]@", "isn't!!!"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text

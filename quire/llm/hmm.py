@@ -25,13 +25,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +43,17 @@ STATES, HEAD, TAILS = 8, 32_000, 1024
 ROUNDS, MERGED = 12, 4
 #: Symbols of a training sequence, and how many are held at once.
 STRETCH, BLOCK = 256, 1 << 17
+#: Places from one scaling of chances to the next: the product of that many, and of two such products, stays in the full range of
+#: a double, as a state's part in a place is at least about 1e-22 for 1e12 tokens.
+SCALED = 4
+#: Symbols whose expected counts are added up at once, few enough to stay in a cache.
+NEAR = 4096
 #: Symbols from which a text is scored by segments, their length, and symbols scored side by side.
 LONG, SEGMENT, SCORED = 1 << 16, 1 << 10, 1 << 21
-#: Texts encoded at once.
+#: Texts split and encoded at once.
 ENCODED_ROWS = 500
-#: Different words that a task counts before it hands them on; bytes of the longest word kept as it is.
-COUNTED, MOST_BYTES = 200_000, 64
+#: Words that a task counts before it hands them on; bytes of the longest word kept as it is.
+COUNTED, MOST_BYTES = 1 << 20, 64
 #: Levels of frequency per doubling, at one of which the head ends.
 LEVELS = 16
 #: The key of the end, which no word can be; keys of long words begin with it.
@@ -60,36 +66,52 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= MOST_BYTES else END + hashlib.sha256(word).digest()
 
 
-def class_of(word: bytes) -> int:
-    return crc32(word[-2:]) % TAILS
+@cache
+def class_of(ending: bytes) -> int:
+    """The class of a word by its last two bytes or only one."""
+    return crc32(ending) % TAILS
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """The words in lower case: bytes split and lowered know ASCII alone."""
-    return (text or b"").lower().split()
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all words one after the other, in lower case; Arrow's functions know ASCII alone."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, starts = split.flatten().cast(pa.binary()), split.offsets.to_numpy()
+    there = np.asarray(pc.binary_length(flat)) > 0  # none is before white space at the start of a text and after that at its end
+    return np.diff(np.concatenate([[0], np.cumsum(there)])[starts - starts[0]]), flat if there.all() else flat.filter(pa.array(there))
+
+
+def keys_of(words: pa.Array) -> pa.Array:
+    long = np.asarray(pc.binary_length(words)) > MOST_BYTES
+    return pc.replace_with_mask(words, pa.array(long), pa.array([key_of(w.as_py()) for w in words.filter(pa.array(long))], pa.binary())) if long.any() else words
+
+
+def classes_of(words: pa.Array) -> np.ndarray:
+    endings = pc.binary_slice(words, -2).dictionary_encode()
+    return np.array([class_of(e) for e in endings.dictionary.to_pylist()], "i4")[np.asarray(endings.indices)]
 
 
 def counted(docs: DataFrame, text: str) -> DataFrame:
     """(key, class, n) of every word of the texts, and of the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def handed() -> pa.RecordBatch:
-            keys = [key_of(w) for w in found]
-            classes = [class_of(w) for w in found]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(classes, pa.int32()), pa.array(found.values(), pa.int64())], ["key", "class", "n"])
+        def handed(held: list[pa.Array], ends: int) -> pa.RecordBatch:
+            words, n = pc.value_counts(pa.chunked_array(held, pa.binary())).flatten()
+            each = [keys_of(words), pa.array(classes_of(words)), n]
+            end = [pa.array([END]), pa.array([class_of(END)], pa.int32()), pa.array([ends])]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(pair) for pair in zip(each, end)], ["key", "class", "n"])
 
+        held, size, ends = [], 0, 0
         for batch in batches:
-            for value in batch[0]:
-                found.update(words_of(value.as_py()))
-                found[END] += 1
-                if len(found) > COUNTED:
-                    yield handed()
-                    found.clear()
-        yield handed()
-
-    slim = docs.select(F.col(text).cast("binary"))
+            for part in (batch[0].slice(at, ENCODED_ROWS) for at in range(0, batch.num_rows, ENCODED_ROWS)):
+                held.append(words_of(part)[1])
+                size, ends = size + len(held[-1]), ends + len(part)
+                if size > COUNTED:
+                    yield handed(held, ends)
+                    held, size, ends = [], 0, 0
+        if ends:
+            yield handed(held, ends)
+
+    slim = docs.select(F.col(text).cast("string"))
     return slim.mapInArrow(run, "key binary, class int, n long").groupBy("key", "class").agg(F.sum("n").alias("n"))
 
 
@@ -127,17 +149,10 @@ def surveyed(counts: DataFrame) -> Corpus:
     for r in counts.where(F.col("key") != F.lit(END)).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # TAILS rows
         tails[r["class"]] = r["n"], r["v"]
     for word, n in head:
-        tails[class_of(word)] -= n, 1
+        tails[class_of(word[-2:])] -= n, 1
     return Corpus(total, different, head, ends["n"] if ends else 0, tails)
 
 
-class Symbols(dict):
-    """The symbol of each head word, else the class of the word's ending."""
-
-    def __missing__(self, word: bytes) -> int:
-        return class_of(word)
-
-
 ENCODED = "doc_id long, held_out boolean, n_tokens long, known long, base double, symbols binary, tail array<struct<key:binary,class:int,times:long>>"
 
 
@@ -149,29 +164,33 @@ def encoded(docs: DataFrame, corpus: Corpus, text: str) -> DataFrame:
     known_end, mine = corpus.ends > 0, uuid.uuid4().hex  # workers outlive a run, so what they keep is named after it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = per_worker(("hmm", mine), lambda: Symbols({w: TAILS + 1 + i for i, w in enumerate(sent.value)})).__getitem__
+        heads = per_worker(("hmm", mine), lambda: pa.array(sent.value, pa.binary()))
         for batch in batches:
             for part in (batch.slice(at, ENCODED_ROWS) for at in range(0, batch.num_rows, ENCODED_ROWS)):
-                sizes, known, base, packed, keys, times, ends = [], [], [], [], [], [], [0]
-                for value in part[2]:
-                    words = words_of(value.as_py())
-                    row = np.fromiter(map(look, words), "<u2", len(words))
-                    rare = np.flatnonzero(row < TAILS)
-                    bag = Counter([words[i] for i in rare.tolist()])
-                    keys += bag
-                    times += bag.values()
-                    ends.append(len(keys))
-                    row = np.append(row, np.uint16(TAILS))
-                    sizes.append(len(row))
-                    known.append(len(row) - 1 - len(rare) + known_end)
-                    base.append(float(logs[row].sum()))
-                    packed.append(row.tobytes())
-                each = [pa.array(map(key_of, keys), pa.binary()), pa.array(map(class_of, keys), pa.int32()), pa.array(times, pa.int64())]
-                tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(each, ["key", "class", "times"]))
-                yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(packed, pa.binary()), tails],
+                rows = part.num_rows
+                sizes, words = words_of(part[2])
+                text_of = np.repeat(np.arange(rows), sizes)
+                places = np.asarray(pc.index_in(words, value_set=heads).fill_null(-1))
+                rare = np.flatnonzero(places < 0)
+                tail = words.take(pa.array(rare)).dictionary_encode()
+                codes, classes = np.asarray(tail.indices, "i8"), classes_of(tail.dictionary)
+                found = TAILS + 1 + places
+                found[rare] = classes[codes]
+                ends = np.cumsum(sizes + 1)
+                symbols = np.full(len(words) + rows, TAILS, "<u2")
+                symbols[np.arange(len(words)) + text_of] = found
+                # Each text's different tail words, one after the other.
+                pairs, times = np.unique(text_of[rare] * len(classes) + codes, return_counts=True)
+                of, codes = np.divmod(pairs, max(len(classes), 1))
+                each = [keys_of(tail.dictionary).take(pa.array(codes)), pa.array(classes[codes]), pa.array(times)]
+                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)), pa.int32()), pa.StructArray.from_arrays(each, ["key", "class", "times"]))
+                packed = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype("i4")), pa.py_buffer(symbols)])
+                known = sizes - np.bincount(text_of[rare], minlength=rows) + known_end
+                base = np.add.reduceat(logs[symbols], ends - sizes - 1)
+                yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(sizes + 1), pa.array(known), pa.array(base), packed, tails],
                                                  ["doc_id", "held_out", "n_tokens", "known", "base", "symbols", "tail"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")), F.col(text).cast("binary"))
+    slim = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")), F.col(text).cast("string"))
     return slim.mapInArrow(run, ENCODED).withColumn("id", F.monotonically_increasing_id())
 
 
@@ -215,51 +234,61 @@ class Packed:
 
 
 class Expected:
-    """Expected counts of a task under a model. Tables here have a row per state, so that each step works along long rows."""
+    """Expected counts of a task under a model. Tables here have a row per place, so that all of a place's sequences lie side by side."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.chances = np.ascontiguousarray(model.emit.T)
+        self.model, self.chances = model, np.ascontiguousarray(model.emit)
         self.first, self.step, self.log = np.zeros(STATES), np.zeros((STATES, STATES)), 0.0
-        self.by_state = np.zeros(self.chances.shape)
+        self.pairs = np.zeros((STATES // 2, len(model.emit)), complex)  # of two states at a time, as the parts of a complex number
+        self.room = np.empty((0, STATES))
 
     @property
     def emit(self) -> np.ndarray:
-        return self.by_state.T
+        return np.ascontiguousarray(self.pairs.T).view(float)
 
     def add(self, rows: list[np.ndarray], begins: list[bool]) -> None:
-        """Forward and backward over the sequences; begins says which start a text."""
+        """Forward and backward over the sequences; begins says which start a text.
+
+        Chances are scaled to a sum of 1 at every SCALED-th place only: between them they get small, but far from
+        vanishing. What a sequence's last place sums to is where its way back starts.
+        """
         laid, m = Packed(rows), self.model
-        chance, ends, symbols = np.empty((STATES, len(laid.symbols))), laid.ends.tolist(), laid.symbols.astype("i8")
-        for k in range(STATES):
-            self.chances[k].take(symbols, out=chance[k], mode="clip")  # all are in range; "clip" spares a copy
-        forward, scale = np.empty_like(chance), np.empty(len(symbols))
-        fresh = np.array(begins)[laid.order]
-        onward, back = np.ascontiguousarray(m.step.T), np.ascontiguousarray(m.step)
-        ahead = np.where(fresh, m.first[:, None], m.usual[:, None])
-        for at, end in zip(ends, ends[1:]):
-            now = ahead[:, : end - at] * chance[:, at:end]
-            total = now.sum(0, out=scale[at:end])
-            now /= total
-            forward[:, at:end] = now
-            ahead = onward @ now
-        chance /= scale
-        behind, paths = np.ones((STATES, ends[-1] - ends[-2])), np.zeros((STATES, STATES))
-        for t in range(len(ends) - 2, -1, -1):
-            at, end = ends[t], ends[t + 1]
-            if t < len(ends) - 2:
-                met = behind.shape[1]
-                paths += forward[:, at : at + met] @ behind.T
-                wider = np.ones((STATES, end - at))
-                np.matmul(back, behind, out=wider[:, :met])
-                behind = wider
-            forward[:, at:end] *= behind
-            behind = behind * chance[:, at:end]
-        self.first += forward[:, : ends[1]][:, fresh].sum(1)
+        ends, symbols, fresh = laid.ends.tolist(), laid.symbols.astype("i8"), np.array(begins)[laid.order]
+        if len(symbols) > len(self.room):
+            self.room = np.empty((len(symbols), STATES))
+        forward, here, totals = self.room[: len(symbols)], np.empty((len(rows), STATES)), {}
+        back, last = np.ascontiguousarray(m.step.T), np.empty((len(rows), 1))
+        near = np.where(fresh[:, None], m.first, m.usual)  # what is expected at the next place; on the way back, what follows
+        for t, (at, end) in enumerate(zip(ends, ends[1:])):
+            now, met = forward[at:end], ends[min(t + 2, len(ends) - 1)] - end
+            chance = self.chances.take(symbols[at:end], axis=0, out=here[: end - at], mode="clip")  # all are in range; "clip" spares a copy
+            np.multiply(near[: end - at], chance, out=now)
+            if t % SCALED == SCALED - 1:
+                total = totals[at] = now.sum(1, keepdims=True)
+                now /= total
+                self.log += float(np.log10(total).sum())
+            if met < end - at:
+                last[met : end - at] = now[met:].sum(1, keepdims=True)
+            np.matmul(now[:met], m.step, out=near[:met])
+        self.log += float(np.log10(last).sum())
+        near[:] = 1 / last
+        rest, paths, met, done = np.empty_like(near), np.zeros((STATES, STATES)), 0, len(symbols)
+        for at, end in zip(ends[-2::-1], ends[:0:-1]):
+            now = forward[at:end]
+            paths += now[:met].T @ rest[:met]
+            np.matmul(rest[:met], back, out=near[:met])
+            met = end - at
+            chance = self.chances.take(symbols[at:end], axis=0, out=here[:met], mode="clip")  # once more: cheaper than to keep and fetch it
+            np.multiply(near[:met], chance, out=rest[:met])
+            if at in totals:
+                rest[:met] /= totals[at]
+            now *= near[:met]
+            if done - at >= NEAR or at == 0:
+                for total, weights in zip(self.pairs, forward[at:done].view(complex).T.copy()):
+                    np.add.at(total, symbols[at:done], weights)
+                done = at
+        self.first += forward[: ends[1]][fresh].sum(0)
         self.step += paths * m.step
-        for k in range(STATES):
-            self.by_state[k] += np.bincount(symbols, weights=forward[k], minlength=self.by_state.shape[1])
-        self.log += float(np.log10(scale).sum())
 
 
 def trained(texts: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, float]:
@@ -281,8 +310,9 @@ def trained(texts: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, floa
                         rows, begins, size = [], [], 0
         if rows:
             expected.add(rows, begins)
-        met = np.flatnonzero(expected.emit.any(1))
-        table = np.concatenate([expected.emit[met], expected.step, [expected.first], [[expected.log] * STATES]])
+        emit = expected.emit
+        met = np.flatnonzero(emit.any(1))
+        table = np.concatenate([emit[met], expected.step, [expected.first], [[expected.log] * STATES]])
         labels = np.concatenate([met, -1 - np.arange(STATES), [-1 - STATES, -2 - STATES]])
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), *(pa.array(table[:, k]) for k in range(STATES))], ["row", *names])
 
@@ -311,13 +341,17 @@ def learned(texts: DataFrame, corpus: Corpus) -> Model:
 def likelihoods(rows: list[np.ndarray], model: Model) -> np.ndarray:
     """The log10 likelihood of each sequence, by the scaled forward recursion."""
     laid = Packed(rows)
-    logs = np.zeros(len(rows))
-    ahead = np.broadcast_to(model.first, (len(rows), STATES))
-    for t, width in enumerate(laid.width):
-        now = ahead[:width] * model.emit[laid.symbols[laid.ends[t] : laid.ends[t] + width]]
-        total = now.sum(1)
-        logs[:width] += np.log10(total)
-        ahead = (now / total[:, None]) @ model.step
+    logs, near, ends, emit = np.zeros(len(rows)), np.tile(model.first, (len(rows), 1)), laid.ends.tolist(), np.ascontiguousarray(model.emit)
+    for t, (at, end) in enumerate(zip(ends, ends[1:])):
+        now, met = emit.take(laid.symbols[at:end], axis=0, mode="clip"), ends[min(t + 2, len(ends) - 1)] - end
+        now *= near[: end - at]
+        if t % SCALED == SCALED - 1:
+            total = now.sum(1, keepdims=True)
+            now /= total
+            logs[: end - at] += np.log10(total[:, 0])
+        if met < end - at:
+            logs[met : end - at] += np.log10(now[met:].sum(1))
+        np.matmul(now[:met], model.step, out=near[:met])
     out = np.empty(len(rows))
     out[laid.order] = logs
     return out

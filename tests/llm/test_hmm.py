@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,66 @@ def test_every_round_learns_from_all_training_texts(spark, monkeypatch):
     monkeypatch.setattr(hmm, "WARM_TOKENS", 1000, raising=False)
     assert np.isfinite(scores(docs)["score"]).all()
     assert len(seen) >= 10 and all(tokens == total > 1000 for tokens, total in seen)
+
+
+def scaled_at_every_place(rows, begins, m):
+    """Expected counts and likelihood by recursions scaled at each place, a row per state."""
+    laid, found = hmm.Packed(rows), np.zeros(m.emit.T.shape)
+    ends, symbols, fresh = laid.ends.tolist(), laid.symbols.astype("i8"), np.array(begins)[laid.order]
+    chance = np.array([c.take(symbols) for c in np.ascontiguousarray(m.emit.T)])
+    forward, scale, paths = np.empty_like(chance), np.empty(len(symbols)), np.zeros_like(m.step)
+    ahead, behind = np.where(fresh, m.first[:, None], m.usual[:, None]), np.ones((hmm.STATES, ends[-1] - ends[-2]))
+    for at, end in zip(ends, ends[1:]):
+        now = ahead[:, : end - at] * chance[:, at:end]
+        now /= now.sum(0, out=scale[at:end])
+        forward[:, at:end], ahead = now, m.step.T @ now
+    chance /= scale
+    for t in range(len(ends) - 2, -1, -1):
+        at, end = ends[t], ends[t + 1]
+        if t < len(ends) - 2:
+            met = behind.shape[1]
+            paths += forward[:, at : at + met] @ behind.T
+            behind = np.hstack([m.step @ behind, np.ones((hmm.STATES, end - at - met))])
+        forward[:, at:end] *= behind
+        behind = behind * chance[:, at:end]
+    for k in range(hmm.STATES):
+        found[k] += np.bincount(symbols, weights=forward[k], minlength=found.shape[1])
+    return forward[:, : ends[1]][:, fresh].sum(1), paths * m.step, found.T, float(np.log10(scale).sum())
+
+
+def training_block():
+    """A model of as many symbols as the largest one and a block of sequences, some emitted by hardly any state."""
+    r, symbols = np.random.default_rng(3), hmm.TAILS + 1 + hmm.HEAD
+    m = model(symbols)
+    m.emit[:] = m.emit ** 3 + 1e-22
+    rows = [np.minimum(r.zipf(1.3, n) - 1, symbols - 1).astype("<u2") for n in r.integers(1, hmm.STRETCH + 1, 1000)]
+    return rows, (r.random(len(rows)) < 0.5).tolist(), hmm.Model(m.first, m.usual, m.step, m.emit / m.emit.sum(0))
+
+
+def test_seldom_scaled_recursions_equal_ones_scaled_at_every_place():
+    rows, begins, m = training_block()
+    found = hmm.Expected(m)
+    found.add(rows[:300], begins[:300])
+    found.add(rows[300:], begins[300:])
+    for mine, other in zip((found.first, found.step, found.emit, found.log), scaled_at_every_place(rows, begins, m)):
+        assert np.allclose(mine, other, rtol=1e-9, atol=1e-12)
+    assert math.isclose(found.emit.sum(), sum(map(len, rows)))
+
+
+def test_chances_are_scaled_at_few_places(monkeypatch):
+    rows, begins, m = training_block()
+    plain, taken = np.log10, []
+    monkeypatch.setattr(np, "log10", lambda x: taken.append(np.size(x)) or plain(x))
+    hmm.Expected(m).add(rows, begins)
+    hmm.likelihoods(rows, m)
+    assert sum(taken) < 0.6 * sum(map(len, rows)), "every scaling takes a sum, a division and a logarithm: once for each symbol in both passes before"
+
+
+def test_words_are_split_and_lowered_as_bytes_are():
+    texts = [" lead", "trail ", "\x0b\x0cA\x1cB\x85 \xa0x y", "É İI ſK K\tZ", "", "  \t\n\r ", None, "a\x00b c\x00", "x" * 70 + " y"]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    for column in (pa.array(texts), pa.array([*texts, "left out"]).slice(0, len(texts)), pa.array(["left out", *texts]).slice(1)):
+        sizes, words = hmm.words_of(column)
+        assert sizes.tolist() == list(map(len, plain)) and words.to_pylist() == [w for ws in plain for w in ws]
+    assert hmm.classes_of(words).tolist() == [zlib.crc32(w[-2:]) % hmm.TAILS for w in words.to_pylist()]
+    assert hmm.keys_of(words).to_pylist() == [hmm.key_of(w) for w in words.to_pylist()]

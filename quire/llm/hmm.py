@@ -153,14 +153,17 @@ def surveyed(counts: DataFrame) -> Corpus:
     return Corpus(total, different, head, ends["n"] if ends else 0, tails)
 
 
-ENCODED = "doc_id long, held_out boolean, n_tokens long, known long, base double, symbols binary, tail array<struct<key:binary,class:int,times:long>>"
+ENCODED = "doc_id long, held_out boolean, n_tokens long, known long, base double, rest double, symbols binary, tail array<struct<key:binary,times:long>>"
 
 
 def encoded(docs: DataFrame, corpus: Corpus, text: str) -> DataFrame:
-    """Every text as symbols, with what head words and the end add to the base score, and its tail words. id numbers the rows."""
+    """Every text as symbols and its tail words, with all but these words' counts that goes into the base score and, beside the symbols, into the score. id numbers the rows."""
     sent = docs.sparkSession.sparkContext.broadcast([w for w, _ in corpus.head])
     shares = (corpus.counts() + 1) / (corpus.total + corpus.different + 1)
-    logs = np.where(np.arange(corpus.symbols) < TAILS, 0.0, np.log10(shares))
+    logs = np.where(np.arange(corpus.symbols) < TAILS, -np.log10(corpus.total + corpus.different + 1), np.log10(shares))
+    # A class has room for its tokens and words outside of the head, and one for a word never seen.
+    room = np.zeros(corpus.symbols)
+    room[:TAILS] = -np.log10(corpus.tails.sum(1) + 1)
     known_end, mine = corpus.ends > 0, uuid.uuid4().hex  # workers outlive a run, so what they keep is named after it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,13 +185,13 @@ def encoded(docs: DataFrame, corpus: Corpus, text: str) -> DataFrame:
                 # Each text's different tail words, one after the other.
                 pairs, times = np.unique(text_of[rare] * len(classes) + codes, return_counts=True)
                 of, codes = np.divmod(pairs, max(len(classes), 1))
-                each = [keys_of(tail.dictionary).take(pa.array(codes)), pa.array(classes[codes]), pa.array(times)]
-                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)), pa.int32()), pa.StructArray.from_arrays(each, ["key", "class", "times"]))
+                each = [keys_of(tail.dictionary).take(pa.array(codes)), pa.array(times)]
+                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)), pa.int32()), pa.StructArray.from_arrays(each, ["key", "times"]))
                 packed = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype("i4")), pa.py_buffer(symbols)])
                 known = sizes - np.bincount(text_of[rare], minlength=rows) + known_end
-                base = np.add.reduceat(logs[symbols], ends - sizes - 1)
-                yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(sizes + 1), pa.array(known), pa.array(base), packed, tails],
-                                                 ["doc_id", "held_out", "n_tokens", "known", "base", "symbols", "tail"])
+                base, rest = (pa.array(np.add.reduceat(of_symbol[symbols], ends - sizes - 1)) for of_symbol in (logs, room))
+                yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(sizes + 1), pa.array(known), base, rest, packed, tails],
+                                                 ["doc_id", "held_out", "n_tokens", "known", "base", "rest", "symbols", "tail"])
 
     slim = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")), F.col(text).cast("string"))
     return slim.mapInArrow(run, ENCODED).withColumn("id", F.monotonically_increasing_id())
@@ -383,9 +386,9 @@ def likelihood_long(row: np.ndarray, model: Model) -> float:
 
 
 def forward(texts: DataFrame, model: Model) -> DataFrame:
-    """(id, doc_id, held_out, n_tokens, known, base, log): the log10 likelihood of each text's symbols."""
+    """(id, doc_id, held_out, n_tokens, known, base, rest, log): the log10 likelihood of each text's symbols."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
-    kept = ["id", "doc_id", "held_out", "n_tokens", "known", "base"]
+    kept = ["id", "doc_id", "held_out", "n_tokens", "known", "base", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def scored(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -410,7 +413,7 @@ def forward(texts: DataFrame, model: Model) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield scored(held)
 
-    return texts.select(*kept, "symbols").mapInArrow(run, "id long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double")
+    return texts.select(*kept, "symbols").mapInArrow(run, "id long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest double, log double")
 
 
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -419,16 +422,12 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     corpus = surveyed(counts)
     texts = stage(encoded(docs, corpus, text), "hmm-texts")
     model = learned(texts.where("NOT held_out"), corpus)
-    every = F.lit(float(corpus.total + corpus.different + 1))
-    seen = F.coalesce("n", F.lit(0))
-    # Of a class: its tokens and words outside of the head, and one for a word never seen.
-    room = F.get(F.array(*[F.lit(float(a + b + 1)) for a, b in corpus.tails.tolist()]), F.col("class"))
-    tail = texts.select("id", F.inline("tail")).join(counts.select("key", "n"), "key", "left")
-    added = tail.groupBy("id").agg(
-        F.sum(F.col("times") * F.log10((seen + 1) / every)).alias("more_base"), F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((seen + 1) / room)).alias("more_log"))
-    found = forward(texts, model).join(added, "id", "left").na.fill(0, ["more_base", "more_known", "more_log"])
+    # A tail word's count goes into both scores alike; one never seen adds log10(0 + 1).
+    tail = texts.select("id", F.inline("tail")).join(counts.select("key", F.log10(F.col("n") + 1).alias("seen")), "key", "left")
+    added = tail.groupBy("id").agg(F.sum(F.col("times") * F.col("seen")).alias("more"), F.sum(F.when(F.col("seen").isNotNull(), F.col("times"))).alias("more_known"))
+    found = forward(texts, model).join(added, "id", "left").na.fill(0, ["more", "more_known"])
     return found.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(corpus.total).cast("long").alias("train_tokens"),
-                        (F.col("base") + F.col("more_base")).alias("base_score"), (F.col("log") + F.col("more_log")).alias("score"))
+                        (F.col("base") + F.col("more")).alias("base_score"), (F.col("log") + F.col("rest") + F.col("more")).alias("score"))
 
 
 def op13_language_model_scores(docs: DataFrame) -> DataFrame:

@@ -64,16 +64,22 @@ def find_spans(text: Column, term: Column, ignore_case: bool = False) -> Column:
 
 
 def merge_spans(spans: Column | str) -> Column:
-    """The union of spans that overlap or touch."""
-    none = F.array().cast("array<struct<a:int,b:int>>")
+    """The union of spans (a, b) that overlap or touch, by a, null last.
+
+    As for running maxima, a null b reaches nowhere: a span after ends that are all null is its own. One with a null a goes with the spans before it.
+    """
+    # Nulls of a struct come first in an order, so that each is led by whether it is null.
+    ordered = F.array_sort(F.transform(_col(spans), lambda s: F.struct(s["a"].isNull().alias("no_a"), s["a"].cast("long").alias("a"), s["b"].isNull().alias("no_b"), s["b"].cast("long").alias("b"))))
+    none = F.struct(F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"), F.lit(None).cast("long").alias("reach"))
 
     def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (s["a"] <= F.try_element_at(acc, F.lit(-1))["b"])
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+        out, last = acc["out"], F.try_element_at(acc["out"], F.lit(-1))
+        joins = acc["reach"].isNotNull() & F.coalesce(s["a"] <= acc["reach"], F.lit(True))
+        grown = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
+        merged = F.when(joins, grown).otherwise(F.concat(out, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+        return F.struct(merged.alias("out"), F.greatest(acc["reach"], s["b"]).alias("reach"))
 
-    return F.aggregate(F.array_sort(_col(spans)), none, step)
+    return F.aggregate(ordered, none, step, lambda acc: acc["out"])
 
 
 def preview(text: Column, a: Column, b: Column, around: int = 18) -> Column:

@@ -219,9 +219,9 @@ m AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBO
 f AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT doc_id, min(a)::BIGINT AS a, max(b)::BIGINT AS b FROM f GROUP BY doc_id, g""")
 def w12_merge_spans(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct(F.col("l_quantity").cast("int").alias("a"), (F.col("l_quantity").cast("int") + F.col("l_linenumber")).alias("b")).alias("s"))
-    merged = rows.groupBy("doc_id").agg(T.merge_spans(F.collect_list("s")).alias("m"))
-    return merged.select("doc_id", F.inline("m")).select("doc_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    a = F.rint("l_quantity").cast("long")  # the SQL's cast rounds halves to even
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct(a.alias("a"), (a + F.col("l_linenumber")).alias("b")).alias("s"))
+    return rows.groupBy("doc_id").agg(T.merge_spans(F.collect_list("s")).alias("m")).select("doc_id", F.inline("m"))
 
 
 @query("w15_hit_numbers", """

@@ -30,6 +30,17 @@ def test_merge_spans(spark):
     assert [tuple(s) for s in one(spark, T.merge_spans(spans))] == [(0, 4), (6, 8)]
 
 
+def test_merge_spans_of_odd_rows(spark, tmp_path):
+    """Null and broken numbers as in the SQL, whose windows are spelt out here."""
+    import __spark_entry__ as entry
+
+    rows = [(1, 2.5, 1), (1, 3.5, 1), (2, None, 1), (2, None, 2), (2, 1.0, 2), (2, 9.0, None), (2, 9.6, 1), (3, None, 1), (3, None, 1), (4, 5.0, None), (4, 5.0, None), (4, 6.0, 2), (5, 3e9, 1), (None, 1.0, 1), (None, 2.0, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = sorted(((r.doc_id, r.a, r.b) for r in entry.queries()["w12_merge_spans"](spark, str(tmp_path)).collect()), key=str)
+    want = [(1, 2, 3), (1, 4, 5), (2, 1, 3), (2, 9, None), (2, 10, 11), (3, None, None), (3, None, None), (4, 5, None), (4, 5, None), (4, 6, 8), (5, 3000000000, 3000000001), (None, 1, 3)]
+    assert found == sorted(want, key=str)
+
+
 def test_delete_counts(spark):
     rows = spark.createDataFrame([(1, ["abab", "xx"]), (2, ["none"])], "doc_id long, lines array<string>")
     done = S.delete_terms(rows, ["ab", "x"]).first()

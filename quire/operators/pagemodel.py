@@ -3,6 +3,10 @@
 All windows are keyed by page (and column), so a task sorts pages, never documents. Rows
 come from anchors: the distinct heights of a page are folded from the top, and each starts
 a row unless it lies within reach of the last start.
+
+Glyphs exploded from texts are far more than Spark supposes from the size of the file, which
+it would then broadcast by way of the driver. So nothing that is made of glyphs is joined to
+them but a row for a page, with the hint to merge; what can be is a window over the page.
 """
 
 from __future__ import annotations
@@ -42,12 +46,18 @@ def merge_thin_bands(rows: DataFrame) -> DataFrame:
 
 
 def build_rows(glyphs: DataFrame, reach: float = 2.0, keys: list[str] | None = None) -> DataFrame:
-    """glyphs with row_y: the height of the first glyph of their row."""
+    """glyphs with row_y: the height of the first glyph of their row.
+
+    A page's distinct heights and the rows they are of come to its glyphs as an array, in which a glyph's place is the rank of its height.
+    """
     keys = keys or PAGE
-    starts = glyphs.groupBy(*keys).agg(F.collect_set("y0").alias("ys")).select(*keys, F.explode(anchors(F.col("ys"), reach, True)).alias("row_y"))
-    heights = glyphs.select(*keys, "y0").distinct().join(starts, keys).where(F.abs(F.col("row_y") - F.col("y0")) <= reach)
-    first = heights.groupBy(*keys, "y0").agg(F.max("row_y").alias("row_y"))
-    return glyphs.join(first, [*keys, "y0"])
+    heights = glyphs.select(*keys, "y0").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("y0"), asc=False).alias("ys"))
+    of = F.aggregate("ys", F.array().cast("array<double>"), lambda acc, v: F.concat(acc, F.array(
+        F.when(F.abs(F.try_element_at(acc, F.lit(-1)) - v) <= reach, F.try_element_at(acc, F.lit(-1))).otherwise(v))))
+    down = Window.partitionBy(*keys).orderBy(F.col("y0").desc())
+    ranked = glyphs.withColumn("__at", F.dense_rank().over(down))
+    found = ranked.join(heights.select(*keys, of.alias("__rows")).hint("merge"), keys)
+    return found.withColumn("row_y", F.get("__rows", F.col("__at") - 1)).where(F.abs(F.col("row_y") - F.col("y0")) <= reach).drop("__at", "__rows")
 
 
 def row_stats(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

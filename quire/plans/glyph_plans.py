@@ -24,7 +24,9 @@ rows_ AS (SELECT doc_id, page, op_index, max(y0) AS row_y, min(x0) AS x0, arg_ma
 
 
 def glyph_table(spark, sf_dir) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("text <> ''").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.posexplode(F.split("text", "")).alias("i", "text"))
+    # Texts are dealt by page before they become glyphs, which then need not be moved.
+    turns = table(spark, sf_dir, "conversations").where("text <> ''").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text").repartition("doc_id", "page")
+    turns = turns.select("doc_id", "page", F.posexplode(F.split("text", "")).alias("i", "text"))
     each = turns.where("text <> ''").select("doc_id", "page", F.floor(F.col("i") / 60).cast("int").alias("op_index"), (F.col("i") % 60).alias("char_index"), "text", F.ascii("text").alias("code"), G.char_width(F.col("text")).cast("long").alias("w"))
     row = Window.partitionBy("doc_id", "page", "op_index").orderBy("char_index")
     placed = each.withColumn("x0", 50 + (F.sum("w").over(row) - F.col("w")) / 100.0 + F.when((F.col("char_index") >= 40) & (F.col("page") % 2 == 0), 40).otherwise(0))

@@ -28,12 +28,11 @@ def anchors(values: Column, reach: float, descending: bool = False) -> Column:
 
 def split_columns(glyphs: DataFrame, gap: float = 12.0) -> DataFrame:
     """glyphs with band: columns of the page, parted where no glyph reaches over a gap of more than `gap`."""
-    page = Window.partitionBy(*PAGE)
-    run = page.orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
-    spans = glyphs.select(*PAGE, "x0", "x1").distinct()
-    flagged = spans.withColumn("fresh", (F.col("x0") - F.max("x1").over(run) > gap).cast("int"))
-    banded = flagged.withColumn("band", F.sum(F.coalesce("fresh", F.lit(0))).over(page.orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, 0)))
-    return glyphs.join(banded.select(*PAGE, "x0", "x1", "band"), [*PAGE, "x0", "x1"])
+    across = Window.partitionBy(*PAGE).orderBy("x0", "x1")
+    far = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    again = F.coalesce((F.lag("x0").over(across) == F.col("x0")) & (F.lag("x1").over(across) == F.col("x1")), F.lit(False))
+    flagged = glyphs.dropna(subset=[*PAGE, "x0", "x1"]).withColumn("fresh", F.coalesce(((F.col("x0") - far > gap) & ~again).cast("int"), F.lit(0)))
+    return flagged.withColumn("band", F.sum("fresh").over(across.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
 def merge_thin_bands(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["w3_build_rows"])
+@pytest.mark.parametrize("name", ["w2_split_columns", "w3_build_rows"])
 def test_no_glyphs_are_broadcast(spark, name):
     assert "Broadcast" not in plan_of(entry.queries()[name](spark, SMALL))
 
@@ -27,6 +27,12 @@ def test_glyphs_of_a_page_are_moved_as_texts(spark):
     assert all("op_index" not in line and "y0" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
 
 
+def test_columns_of_repeated_and_turned_spans(spark):
+    spans = [(0.0, 10.0), (0.0, 10.0), (30.0, 40.0), (30.0, 40.0), (35.0, 36.0), (80.0, 60.0), (80.0, 60.0), (80.0, 60.0), (None, 5.0)]
+    g = spark.createDataFrame([(1, 1, 0, i, a, 0.0, b) for i, (a, b) in enumerate(spans)] + [(None, 1, 0, 0, 0.0, 0.0, 1.0)], GLYPH)
+    assert sorted((r.x0, r.band) for r in M.split_columns(g).collect()) == [(0.0, 0)] * 2 + [(30.0, 1)] * 2 + [(35.0, 1)] + [(80.0, 2)] * 3
+
+
 def test_rows_of_many_heights(spark):
     r = random.Random(3)
     heights = [None, -0.0, 0.0, *[k * 0.75 for k in range(40)]]

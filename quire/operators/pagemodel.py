@@ -93,16 +93,17 @@ def paragraphs(rows: DataFrame, keys: list[str] | None = None, indent: float = 3
     always stay together.
     """
     keys = keys or PAGE
-    down = Window.partitionBy(*keys).orderBy(F.col("row_y").desc())
-    gap = F.lag("row_y").over(down) - F.col("row_y")
-    usual = rows.withColumn("gap", gap).groupBy(*keys).agg(F.percentile("gap", 0.5).alias("body"))
-    base = rows.withColumns({"gap": gap, "above": F.lag("size").over(down)}).join(usual, keys).join(left_margin(rows, keys), keys)
+    page = Window.partitionBy(*keys)
+    down = page.orderBy(F.col("row_y").desc())
+    spaced = rows.withColumns({"gap": F.lag("row_y").over(down) - F.col("row_y"), "above": F.lag("size").over(down), "start": F.round("x0", 1)})
+    counted = spaced.withColumns({"body": F.percentile("gap", 0.5).over(page), "n_start": F.count(F.lit(1)).over(Window.partitionBy(*keys, "start"))})
+    base = counted.withColumn("left", F.min_by("start", F.struct(-F.col("n_start"), F.col("start"))).over(page))
     same_gap = (F.col("body") > 0) & (F.abs(F.col("gap") - F.col("body")) <= F.greatest(F.lit(1.2), F.col("body") * share))
     same = same_gap & (F.abs(F.col("x0") - F.col("left")) <= indent) & (F.abs(F.col("size") - F.col("above")) <= 0.6)
     if "rule_band" in rows.columns:
         same = same | (F.col("rule_band") == F.lag("rule_band").over(down))
     fresh = (~F.coalesce(same, F.lit(False))).cast("int")
-    return base.withColumn("fresh", fresh).withColumn("para", (F.sum("fresh").over(down) - 1).cast("int")).drop("fresh", "above", "body", "left")
+    return base.withColumn("fresh", fresh).withColumn("para", (F.sum("fresh").over(down) - 1).cast("int")).drop("fresh", "above", "body", "left", "start", "n_start")
 
 
 def paragraph_stats(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["w2_split_columns", "w3_build_rows", "w17_items_to_lines", "a4_left_margin"])
+@pytest.mark.parametrize("name", ["w2_split_columns", "w3_build_rows", "w17_items_to_lines", "a4_left_margin", "w5_paragraphs"])
 def test_no_glyphs_are_broadcast(spark, name):
     assert "Broadcast" not in plan_of(entry.queries()[name](spark, SMALL))
 
@@ -45,3 +45,12 @@ def test_rows_of_many_heights(spark):
             want.append((*page, y, last))
     found = M.build_rows(spark.createDataFrame(rows, GLYPH)).select("doc_id", "page", "y0", "row_y").collect()
     assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_paragraphs_of_equal_margins(spark):
+    rows = [(1, 1, 100.0, 50.0, 10.0, 1), (1, 1, 85.0, 40.0, 10.0, 2), (1, 1, 70.0, 40.0, 10.0, 2), (1, 1, 55.0, 50.0, 10.0, 1), (1, 2, 9.0, None, 10.0, 1)]
+    found = M.paragraphs(spark.createDataFrame(rows, "doc_id long, page int, row_y double, x0 double, size double, cols int"))
+    assert found.columns == ["doc_id", "page", "row_y", "x0", "size", "cols", "gap", "para"]
+    assert [r.para for r in found.where("page = 1").orderBy(F.desc("row_y")).collect()] == [0, 0, 0, 1]
+    stats = M.paragraph_stats(found.withColumn("x1", F.lit(1.0))).orderBy("page", "para").collect()
+    assert [(r.page, r.para, r.lines, r.table_like, r.gap) for r in stats] == [(1, 0, 3, True, 15.0), (1, 1, 1, False, 15.0), (2, 0, 1, False, 0.0)]

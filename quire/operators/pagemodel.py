@@ -110,12 +110,12 @@ def paragraph_stats(rows: DataFrame, keys: list[str] | None = None) -> DataFrame
     """One row per paragraph: top, bottom, left, right, lines, cols, table_like (two rows and half of them with columns), and gap: between its rows on average, of a single row the page's usual one (from the column `gap` of rows; 0 without any)."""
     keys = [*(keys or PAGE), "para"]
     many = F.count_if(F.col("cols") >= 2)
-    stats = rows.groupBy(*keys).agg(
+    usual = F.percentile("gap", 0.5).over(Window.partitionBy(*PAGE))
+    stats = rows.withColumn("usual", usual).groupBy(*keys).agg(
         F.max("row_y").alias("top"), F.min("row_y").alias("bottom"), F.min("x0").alias("left"), F.max("x1").alias("right"), F.count(F.lit(1)).alias("lines"),
-        F.max("cols").alias("cols"), ((many >= 2) & (many * 2 >= F.count(F.lit(1)))).alias("table_like"))
-    usual = rows.groupBy(*PAGE).agg(F.percentile("gap", 0.5).alias("usual"))
+        F.max("cols").alias("cols"), ((many >= 2) & (many * 2 >= F.count(F.lit(1)))).alias("table_like"), F.first("usual").alias("usual"))
     own = (F.col("top") - F.col("bottom")) / F.nullif(F.col("lines") - 1, F.lit(0))
-    return stats.join(usual, PAGE).withColumn("gap", F.coalesce(own, "usual", F.lit(0.0))).drop("usual")
+    return stats.withColumn("gap", F.coalesce(own, "usual", F.lit(0.0))).drop("usual")
 
 
 def dominant_font(glyphs: DataFrame, keys: list[str]) -> DataFrame:

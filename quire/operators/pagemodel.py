@@ -176,10 +176,11 @@ def rule_bands(rows: DataFrame, rules: DataFrame, keys: list[str] | None = None,
 
 def footer_row(rows: DataFrame) -> DataFrame:
     """The lowest row of a page if it lies over three times the usual distance below the next."""
-    up = Window.partitionBy(*PAGE).orderBy("row_y")
-    gaps = rows.withColumns({"gap": F.lead("row_y").over(up) - F.col("row_y"), "at": F.row_number().over(up)})
-    usual = gaps.groupBy(*PAGE).agg(F.percentile("gap", 0.5).alias("body"))
-    return gaps.where("at = 1").join(usual, PAGE).where(F.col("gap") > 3 * F.col("body")).select(*PAGE, "row_y", "gap", "body")
+    page = Window.partitionBy(*PAGE)
+    up = page.orderBy("row_y")
+    gaps = rows.dropna(subset=PAGE).withColumns({"gap": F.lead("row_y").over(up) - F.col("row_y"), "at": F.row_number().over(up)})
+    usual = gaps.withColumn("body", F.percentile("gap", 0.5).over(page))
+    return usual.where((F.col("at") == 1) & (F.col("gap") > 3 * F.col("body"))).select(*PAGE, "row_y", "gap", "body")
 
 
 def table_cells(rows: DataFrame, glyphs: DataFrame, rules: DataFrame, keys: list[str] | None = None, reach: float = 5.0) -> DataFrame:

@@ -17,7 +17,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["w2_split_columns", "w3_build_rows", "w17_items_to_lines", "a4_left_margin", "w5_paragraphs", "a2_paragraph_stats"])
+@pytest.mark.parametrize("name", ["w2_split_columns", "w3_build_rows", "w17_items_to_lines", "a4_left_margin", "w5_paragraphs", "a2_paragraph_stats", "w10_footer_row"])
 def test_no_glyphs_are_broadcast(spark, name):
     assert "Broadcast" not in plan_of(entry.queries()[name](spark, SMALL))
 

@@ -194,24 +194,33 @@ def table_cells(rows: DataFrame, glyphs: DataFrame, rules: DataFrame, keys: list
     keys = keys or PAGE
     down = Window.partitionBy(*keys).orderBy(F.col("row_y").desc())
     whole = Window.partitionBy(*keys)
+    band = Window.partitionBy(*keys, "gid")
     placed = rows.select(*keys, "row_y", "size", "x1").withColumns({"at": F.row_number().over(down) - 1, "edge": F.max("x1").over(whole), "many": F.count(F.lit(1)).over(whole)})
-    banded = staged(rule_bands(placed.where("many >= 2").drop("x1", "many"), rules, keys, outside=True).withColumnRenamed("rule_band", "gid"), "cell-rows")
+    banded = rule_bands(placed.where("many >= 2").drop("x1", "many"), rules, keys, outside=True).withColumnRenamed("rule_band", "gid")
+    high = banded.withColumns({"row": F.min("at").over(band), "low": F.min("row_y").over(band), "top": F.max("row_y").over(band), "tall": F.max_by("size", "row_y").over(band)})
+    # The rows of a page come to its glyphs as an array, in which a glyph's place is that of its row's height; glyphs are made again rather than kept.
+    listed = high.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "row_y", "size", "gid", "row", "low", "top", "tall"))).alias("rows"), F.first("edge").alias("edge"))
+    held = staged(listed.select("*", F.transform("rows", lambda r: r["row_y"]).alias("heights")), "cell-rows")
+
+    def sized(pages: DataFrame) -> DataFrame:
+        found = glyphs.join(pages.hint("merge"), keys).withColumn("own", F.get("rows", (F.array_position("heights", F.col("row_y")) - 1).cast("int")))
+        return found.where("own IS NOT NULL").drop("rows", "heights")
+
     line = Window.partitionBy(*keys, "row_y").orderBy("x0", "op_index", "char_index")
-    sized = staged(glyphs.join(banded, [*keys, "row_y"]), "cell-glyphs")
-    gap = F.col("x0") - F.lag("x1").over(line)
-    starts = sized.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") > F.greatest(F.col("size") * 2, F.lit(6.0))))
-    seen = starts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("x0").alias("x")))), lambda s: s["x"]).alias("xs"))
+    spaced = sized(held).select(*keys, "row_y", "own.at", "own.size", "x0", "x1", "op_index", "char_index").withColumn("gap", F.col("x0") - F.lag("x1").over(line))
+    starts = spaced.where(F.col("gap").isNull() | (F.col("gap") > F.greatest(F.col("size") * 2, F.lit(6.0))))
+    seen = starts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.col("x0").alias("x")))), lambda s: s["x"]).alias("xs"))
     fold = F.aggregate("xs", F.array().cast("array<struct<x:double,n:int>>"), lambda acc, v: F.when(
         F.exists(acc, lambda b: F.abs(b["x"] - v) <= reach),
         F.transform(acc, lambda b, i: F.when(i == F.array_position(F.transform(acc, lambda c: F.abs(c["x"] - v) <= reach), True) - 1, F.struct(b["x"].alias("x"), (b["n"] + 1).alias("n"))).otherwise(b))
     ).otherwise(F.concat(acc, F.array(F.struct(v.alias("x"), F.lit(1).alias("n"))))))
-    cols = seen.select(*keys, F.array_sort(F.transform(F.filter(fold, lambda b: b["n"] >= 2), lambda b: b["x"])).alias("cols")).where(F.size("cols") >= 2)
-    of = sized.join(cols, keys).withColumn("col", F.greatest(F.size(F.filter("cols", lambda c: c <= F.col("x0") + reach)) - 1, F.lit(0)))
-    heights = banded.groupBy(*keys, "gid").agg(F.min("at").alias("row"), F.min("row_y").alias("y0"), F.max("row_y").alias("top"), F.max_by("size", "row_y").alias("size"))
+    cols = staged(seen.select(*keys, F.sort_array(F.transform(F.filter(fold, lambda b: b["n"] >= 2), lambda b: b["x"])).alias("cols")).where(F.size("cols") >= 2), "cell-columns")
+    of = sized(held.join(cols.hint("merge"), keys)).select(*keys, "own", "edge", "cols", "x0", "x1", "y0", "op_index", "char_index", "text").withColumns(
+        {"gid": F.col("own.gid"), "col": F.greatest(F.size(F.filter("cols", lambda c: c <= F.col("x0") + reach)) - 1, F.lit(0))})
     made = of.groupBy(*keys, "gid", "col").agg(
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.coalesce(F.get(F.first("cols"), F.col("col") + 1), F.first("edge")).alias("right"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.round("y0", 2)).alias("d"), "x0", "op_index", "char_index", "text"))), lambda g: g["text"]), "").alias("text"))
-    return made.join(heights, [*keys, "gid"]).select(*keys, "row", "gid", "col", "x0", "x1", "y0", (F.col("top") + F.col("size")).alias("y1"), "right", "size", "text")
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.coalesce(F.get(F.first("cols"), F.col("col") + 1), F.first("edge")).alias("right"), F.first("own").alias("own"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.round("y0", 2)).alias("d"), "x0", "op_index", "char_index", "text"))), lambda g: g["text"]), "").alias("text"))
+    return made.select(*keys, "own.row", "gid", "col", "x0", "x1", F.col("own.low").alias("y0"), (F.col("own.top") + F.col("own.tall")).alias("y1"), "right", F.col("own.tall").alias("size"), "text")
 
 
 def merge_boxes(glyphs: DataFrame, keys: list[str], gap: float = 2.0) -> DataFrame:

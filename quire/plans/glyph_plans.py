@@ -322,8 +322,8 @@ full_ AS (SELECT g.*, b.gid, b.edge, c.cols, greatest(len(list_filter(cols, lamb
 SELECT g.doc_id, g.page, h.row::INTEGER AS row, g.gid, g.col::INTEGER AS col, round(min(x0), 3) AS x0, round(max(x1), 3) AS x1, h.y0, h.y1, round(coalesce(any_value(cols)[g.col + 2], any_value(edge)), 3) AS "right", 10.0::DOUBLE AS size,
        md5(string_agg(text, '' ORDER BY -round(g.y0, 2), x0)) AS text FROM full_ g JOIN h USING (doc_id, page, gid) GROUP BY g.doc_id, g.page, h.row, g.gid, g.col, h.y0, h.y1""")
 def w6_table_cells(spark, sf_dir):
-    glyphs = staged(M.build_rows(glyph_table(spark, sf_dir)), "glyphs")
-    rows = staged(M.row_stats(glyphs), "rows")
+    glyphs = M.build_rows(glyph_table(spark, sf_dir))
+    rows = staged(M.row_stats(glyphs).select("doc_id", "page", "row_y", "size", "x1"), "rows")
     cells = M.table_cells(rows, glyphs, rule_table(rows))
     return cells.withColumns({c: F.round(c, 3) for c in ("x0", "x1", "right")} | {"text": F.md5("text")})
 

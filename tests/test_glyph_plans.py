@@ -54,3 +54,15 @@ def test_paragraphs_of_equal_margins(spark):
     assert [r.para for r in found.where("page = 1").orderBy(F.desc("row_y")).collect()] == [0, 0, 0, 1]
     stats = M.paragraph_stats(found.withColumn("x1", F.lit(1.0))).orderBy("page", "para").collect()
     assert [(r.page, r.para, r.lines, r.table_like, r.gap) for r in stats] == [(1, 0, 3, True, 15.0), (1, 1, 1, False, 15.0), (2, 0, 1, False, 0.0)]
+
+
+def test_cells_keep_no_glyphs_on_disk(spark, monkeypatch):
+    kept = {}
+    for part in (M, glyph_plans):
+        monkeypatch.setattr(part, "staged", lambda df, name, real=part.staged: kept.setdefault(name, real(df, name)))
+    found = entry.queries()["w6_table_cells"](spark, SMALL)
+    pages = spark.read.parquet(f"{SMALL}/conversations.parquet").where("text <> ''")
+    n_rows = pages.selectExpr("sum(ceil(char_length(text) / 60))").first()[0]
+    assert set(kept) == {"rows", "cell-rows", "cell-columns"} and not any({"text", "char_index", "x0"} & set(df.columns) for df in kept.values())
+    assert kept["rows"].count() == n_rows and max(kept[k].count() for k in ("cell-rows", "cell-columns")) <= pages.count()
+    assert "Broadcast" not in plan_of(found) and found.count() > 0
